@@ -81,3 +81,9 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     common = F.size(F.array_intersect(_shingle_texts("_w", "k"), F.col("shingles"))).cast("long")
     counted = wanted.select("doc_id", "item_id", "n_item_shingles", common.alias("n_common"))
     return counted.filter(F.col("n_common") * 100 >= F.col("n_item_shingles") * percent).distinct().withColumn("containment", F.col("n_common") / F.col("n_item_shingles"))
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs, all columns, that contain no item."""
+    hit = contained_items(docs, items, id_col, text_col, **options).select(F.col("doc_id").alias("_hit")).distinct()
+    return docs.join(hit, F.col(id_col).eqNullSafe(F.col("_hit")), "left_anti")

@@ -49,3 +49,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     out = ["doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), "text_sha256"]
     return hot.select(*out).unionByName(cold.select(*out))
+
+
+def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
+    """The rows of docs, all columns, that exact_dedup keeps."""
+    rejected = exact_dedup(docs, id_col, text_col, counters).filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    marked = docs.withColumn("_digest", normalised_digest(text_col))
+    return marked.join(rejected, (F.col("_digest") == F.col("_sha")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_anti").drop("_digest")
