@@ -84,7 +84,7 @@ def _select(pos: list[np.ndarray], unl: list[np.ndarray]) -> np.ndarray:
     return np.sort(best[gain[best] > 2 * np.log(max(tested.sum(), 2)) + 4])
 
 
-def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, rounds: int = 600, rate: float = 0.1, decay: float = 2e-4) -> Model:
+def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, rounds: int = 600, rate: float = 0.1, decay: float = 2e-5) -> Model:
     """Non-negative PU fit with logistic loss and full-batch Adam; deterministic."""
     if not pos or not unl:
         return Model({}, float(np.log(prior / (1 - prior))) if 0 < prior < 1 else -20.0, prior)
@@ -112,9 +112,26 @@ def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, rounds: int
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
+    b += _shift(scores(pr, pc, len(pos)), scores(ur, uc, len(unl)), prior)
     return Model({int(k): float(x) for k, x in zip(chosen, w, strict=True)}, float(b), prior)
 
 
+def _shift(gp: np.ndarray, gu: np.ndarray, prior: float, precision: float = 0.98, at: float = 0.7) -> float:
+    """Calibration from positives, unlabelled rows and the prior alone.
+
+    The precision of a cut c is estimated as prior * share of positives above c
+    over share of unlabelled rows above c; the lowest cut from which on it holds
+    becomes the log-odds of ``at``.
+    """
+    cuts = np.unique(gp)[::-1]
+    above = lambda g: 1 - np.searchsorted(np.sort(g), cuts - 1e-9) / len(g)
+    good = prior * above(gp) >= precision * np.maximum(above(gu), 1 / len(gu))
+    n = len(good) if good.all() else int(np.argmin(good))
+    while n and above(gp)[n - 1] < 0.02:
+        n -= 1
+    return float(np.clip(np.log(at / (1 - at)) - cuts[n - 1], -3, 3)) if n else 0.0
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
     """Fit on at most max_positive + max_unlabelled rows of the fold crc32(id) mod 3 <> 1.
 
