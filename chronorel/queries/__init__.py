@@ -1,4 +1,9 @@
 """Registered queries of the relational part and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from . import temporal
+
+MODULES = (temporal,)
+QUERIES = {k: q for m in MODULES for k, q in m.R.queries.items()}
+ORACLE_SQL = {k: s for m in MODULES for k, s in m.R.sql.items()}
