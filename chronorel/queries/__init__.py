@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import profiling, temporal
+from . import graph, profiling, temporal
 
-MODULES = (temporal, profiling)
+MODULES = (temporal, profiling, graph)
 QUERIES = {k: q for m in MODULES for k, q in m.R.queries.items()}
 ORACLE_SQL = {k: s for m in MODULES for k, s in m.R.sql.items()}

@@ -160,7 +160,11 @@ def corr_topk(c: Catalog) -> DataFrame:
 # scalar functions
 
 
-@R.add("SELECT p_partkey, list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda p: length(p) >= 2), lambda p: list_concat([p], CASE WHEN p LIKE '%es' AND length(p) > 3 THEN [p[:-3]] ELSE [] END, CASE WHEN p LIKE '%s' AND length(p) > 2 THEN [p[:-2]] ELSE [] END)))) AS tokens FROM part".replace("list_distinct(", "list_sort(list_distinct(").replace("))) AS tokens", "))))) AS tokens").replace("))))) AS", ")))) AS"))
+_FORMS = "list_concat([p], CASE WHEN p LIKE '%es' AND length(p) > 3 THEN [p[:-3]] ELSE [] END, CASE WHEN p LIKE '%s' AND length(p) > 2 THEN [p[:-2]] ELSE [] END)"
+_PARTS = "list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda p: length(p) >= 2)"
+
+
+@R.add(f"SELECT p_partkey, list_sort(list_distinct(flatten(list_transform({_PARTS}, lambda p: {_FORMS})))) AS tokens FROM part")
 def identifier_tokens(c: Catalog) -> DataFrame:
     return c.df("part").select("p_partkey", F.array_sort(X.identifier_tokens_col(F.col("p_name"))).alias("tokens"))
 
