@@ -181,7 +181,7 @@ def fit_classifier(pages: list[str]) -> np.ndarray:
                     y.append(0.0 if b.bad else 1.0)
     w = PRIOR.copy()
     if not x:
-        return w
+        return decisive(w)
     a, t = np.array(x), np.array(y)
     for _ in range(30):  # Newton steps towards PRIOR as the centre of a Gaussian
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
@@ -191,7 +191,20 @@ def fit_classifier(pages: list[str]) -> np.ndarray:
         w = w + step
         if np.abs(step).max() < 1e-6:
             break
-    w[1], w[2] = max(w[1], PRIOR[1]), min(w[2], PRIOR[2])  # roles never count less than before
+    return decisive(w)
+
+
+#: Largest value of each feature of a block.
+_CAPS = np.array([1.0, 1.0, 1.0, 1.0, 4.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0])
+
+
+def decisive(w: np.ndarray) -> np.ndarray:
+    """Raises the two role weights so that a known role outweighs all text features, and boilerplate outweighs content."""
+    w = w.copy()
+    rest = np.arange(len(w)) > 2
+    base = w[0]
+    w[1] = max(w[1], 1.0 - min(base, 0.0) - (np.minimum(w, 0) * _CAPS)[rest].sum())
+    w[2] = min(w[2], -1.0 - max(base, 0.0) - w[1] - (np.maximum(w, 0) * _CAPS)[rest].sum())
     return w
 
 

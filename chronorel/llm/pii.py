@@ -59,7 +59,7 @@ def _is(kind: str, m: str) -> str:
 
 def _luhn(digits: str) -> str:
     d = f"cast(substr(reverse({digits}), i, 1) as int)"
-    return f"(aggregate(sequence(1, length({digits})), 0, (a, i) -> a + if(i % 2 = 0, 2 * {d} - if({d} > 4, 9, 0), {d})) % 10 = 0)"
+    return f"(length({digits}) > 0 and aggregate(sequence(1, greatest(length({digits}), 1)), 0, (a, i) -> a + if(i % 2 = 0, 2 * {d} - if({d} > 4, 9, 0), {d})) % 10 = 0)"
 
 
 def _found(text: str, pattern: str) -> Column:
