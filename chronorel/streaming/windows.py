@@ -9,9 +9,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
-def read_events(spark: SparkSession, folder: str, schema: str, files_per_trigger: int = 8) -> DataFrame:
+def read_events(spark: SparkSession, folder: str, schema: str | StructType, files_per_trigger: int = 8) -> DataFrame:
     """Parquet files of a folder as a stream, a bounded number at a time."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
