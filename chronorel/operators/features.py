@@ -76,7 +76,7 @@ def aggregate(a: str, x: Column, order: Column | None = None, exact: bool = Fals
     raise ValueError(f"unknown aggregate {a!r}; known: {', '.join(BASIC + EXTRA)}")
 
 
-def _present(df: DataFrame, c: str, prefix: str = "") -> Column:
+def _present(df: DataFrame, c: str) -> Column:
     kind = dict(df.dtypes)[c]
     return F.when(~F.isnan(c), F.col(c)) if kind in ("float", "double") else F.col(c)
 

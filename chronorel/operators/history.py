@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .temporal import days, first_rows, micros
@@ -98,9 +98,15 @@ def candidate_count(rows: DataFrame, entity: str, horizon_days: int) -> DataFram
 
 
 def schedule(rows: DataFrame) -> DataFrame:
-    """Distinct task times with how many of them lie before each (the prefix a cutoff may use)."""
-    times = rows.select("ts").filter("ts is not null").distinct()
-    return times.withColumn("n_before", F.rank().over(Window.orderBy("ts")).cast("long") - 1)  # times only: as few as there are dates
+    """Distinct task times with how many of them lie before each (the prefix a cutoff may use).
+
+    Ranks run within a day; only one count per day is summed up in order.
+    """
+    times = rows.select("ts").filter("ts is not null").distinct().withColumn("_day", F.to_date("ts"))
+    per_day = times.groupBy("_day").agg(F.count(F.lit(1)).alias("_n"))
+    start = per_day.select("_day", (F.sum("_n").over(Window.orderBy("_day")) - F.col("_n")).alias("_start"))
+    ranked = times.withColumn("_in", F.row_number().over(Window.partitionBy("_day").orderBy("ts")))
+    return ranked.join(start, "_day").select("ts", (F.col("_start") + F.col("_in") - 1).alias("n_before"))
 
 
 def violations(built: DataFrame, entity: str, horizon_days: int | None, tie: str) -> DataFrame:

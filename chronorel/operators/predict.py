@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import cell_text, first_number
+from ..session import ship_package
 
 #: A predictor gets texts and returns as many texts.
 Predictor = Callable[[list[str]], list[str]]
@@ -78,6 +79,8 @@ def predict(prompts: DataFrame, predictor: Predictor, batch: int = 64) -> DataFr
     that still fails has an empty answer.
     """
 
+    ship_package(prompts.sparkSession)
+
     def ask(texts: list[str]) -> list[str]:
         try:
             return predictor(texts)

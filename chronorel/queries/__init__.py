@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import graph, planning, profiling, similar, temporal
+from . import extras, graph, planning, profiling, similar, temporal
 
-MODULES = (temporal, profiling, graph, planning, similar)
+MODULES = (temporal, profiling, graph, planning, similar, extras)
 QUERIES = {k: q for m in MODULES for k, q in m.R.queries.items()}
 ORACLE_SQL = {k: s for m in MODULES for k, s in m.R.sql.items()}

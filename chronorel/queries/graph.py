@@ -10,7 +10,7 @@ from ..operators import features as D
 from ..operators import graph as G
 from ..operators import history as H
 from .base import Registry
-from .temporal import HORIZON, ORDERS, REQUESTS, orders_history, requests
+from .temporal import ORDERS, REQUESTS, orders_history, requests
 
 R = Registry()
 TABLES = ["region", "nation", "customer", "orders", "events"]

@@ -1,6 +1,5 @@
 """Task compilation, configuration, artifacts and streams."""
 
-import json
 import math
 
 import pytest
@@ -127,4 +126,3 @@ def test_cli(capsys):
 
     cli.main(["--root", "/root/testdata/sf0.001", "tables"])
     assert "customer" in capsys.readouterr().out
-    json.dumps({})
