@@ -9,12 +9,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package  # noqa: F401  (the operators take it from here)
+
 WHITE = r"[\x20\x09-\x0D]+"
 TRIM_CHARS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -50,20 +50,6 @@ def purge_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once a context; they need not have it installed."""
-    sc = spark.sparkContext
-    if getattr(sc, "_chronorel_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[2]
-    target = Path(tempfile.mkdtemp(prefix="chronorel-")) / "chronorel.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for f in sorted((root / "chronorel").rglob("*.py")):
-            z.write(f, f.relative_to(root))
-    sc.addPyFile(str(target))
-    sc._chronorel_shipped = True
-
-
 def text_or_empty(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 

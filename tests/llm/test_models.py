@@ -7,10 +7,10 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 import corpus_pipeline
 from chronorel.llm import html_extract as E
@@ -278,19 +278,41 @@ def test_trees_add_what_looks_alike(spark, docs_of):
 # pipeline
 
 
-def test_pipeline(spark, tmp_path):
-    """Stage by stage against the operators' own brute force; every stage's decisions take effect."""
-    names = [n for n, _ in corpus_pipeline.STAGES]
-    assert names == ["toxicity", "exact_dedup", "near_dedup", "decontamination", "packing"]
+def brute_stage(name, rows, docs, spark):
+    """doc_ids that a stage should keep, from its input rows."""
+    from test_dedup import brute_contained, brute_exact, brute_near
+
+    if name == "toxicity":
+        labels = spark.read.parquet(f"{SF}/labels.parquet")
+        return {r["doc_id"] for r in X.score_toxicity(docs, labels).collect() if r["score"] < 0.7}
+    if name == "exact_dedup":
+        return {i for i, _, _, kept, _ in brute_exact(rows) if kept}
+    if name == "near_dedup":
+        return {i for i, _, _, kept in brute_near(rows, 5) if kept}
+    items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
+    return {i for i, _ in rows} - {i for i, *_ in brute_contained(rows, items)}
+
+
+def test_pipeline(spark, tmp_path, monkeypatch):
+    """Each stage against brute force on its own input; all columns stay; run() packs what the stages keep."""
+    monkeypatch.syspath_prepend(str(Path(__file__).parent))
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "decontamination", "packing"]
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    seen = [docs.count()]
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, SF)
+        rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+        stage(spark, docs, SF).write.parquet(str(tmp_path / name))
+        out = spark.read.parquet(str(tmp_path / name))
         assert out.columns == docs.columns
-        out.write.parquet(str(tmp_path / name))
-        docs = spark.read.parquet(str(tmp_path / name))
-        seen.append(docs.count())
-    assert seen == sorted(seen, reverse=True) and seen[-1] > 0.5 * seen[0]
-    packed = corpus_pipeline.run(spark, SF)
-    assert {r[0] for r in packed.select("doc_id").distinct().collect()} == {r[0] for r in docs.select("doc_id").collect()}
-    assert docs.groupBy(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")).count().filter("count > 1").count() == 0
+        assert {r[0] for r in out.select("doc_id").collect()} == brute_stage(name, rows, docs, spark)
+        docs = out
+    final = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    check_packing(final, corpus_pipeline.run(spark, SF).collect())
+
+
+def test_stages_pass_odd_rows(spark, docs_of, odd):
+    docs = docs_of(odd)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns or name == "packing"
+        assert out.count() >= 8
+        assert stage(spark, docs_of([]), SF).count() == 0
