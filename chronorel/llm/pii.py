@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import materialise, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 #: Bounds of the training sample: texts and candidates.
@@ -202,7 +202,9 @@ def train_trees(docs: DataFrame, text_col: str = "text") -> dict[str, Trees]:
     """Fit a model per kind on candidates of at most TRAIN_TEXTS texts, at most TRAIN_SPANS of each kind."""
     text = text_or_empty(text_col)
     sample = docs.select(text.alias("_text")).filter(F.col("_text").rlike("[0-9@]")).orderBy(F.xxhash64("_text")).limit(TRAIN_TEXTS)
+    sample = materialise(sample, "pii-sample")
     cands = _candidates(_base(sample)).select(F.explode("cands").alias("c")).select("c.kind", "c.hit", F.expr(_features("c")).alias("f"), F.expr("xxhash64(c.m, c.pre)").alias("o"))
+    cands = materialise(cands, "pii-candidates")
     out = {}
     for kind in KINDS:
         rows = cands.filter(F.col("kind") == kind).orderBy("o").limit(TRAIN_SPANS).select("hit", "f").collect()
