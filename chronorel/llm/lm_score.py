@@ -70,7 +70,7 @@ def _counter(bits: int):
                 for x, y in zip(held, _keys(t.as_py(), memo), strict=True):
                     x.append(y)
                 n += len(held[0][-1])
-                if n >= 4_000_000:
+                if n >= 2_000_000:
                     yield flush()
                     n = 0
         if n:
@@ -123,7 +123,7 @@ def _block(key: tuple, group: pa.Table) -> pa.Table:
         often = counts >= MIN_PAIR
         data, more = build_filter(keys[often], counts[often]).tobytes(), b""
     else:
-        data, more = keys.tobytes(), counts.tobytes()
+        data, more = keys.tobytes(), counts.astype(np.uint32 if counts.max() < 2**32 else np.int64).tobytes()
     return pa.table({"kind": pa.array([kind], pa.int32()), "block": pa.array([block], pa.int32()), "data": pa.array([data], pa.binary()), "more": pa.array([more], pa.binary()), "total": [total], "types": [types], "once": [once]})
 
 
@@ -136,7 +136,7 @@ class Blocks:
             if kind:
                 self.pairs[block] = np.frombuffer(data, np.uint8)
             else:
-                self.words[block] = (np.frombuffer(data, np.uint64), np.frombuffer(more, np.int64))
+                self.words[block] = (np.frombuffer(data, np.uint64), np.frombuffer(more, np.uint32 if 2 * len(more) == len(data) else np.int64))
 
     def __call__(self, kind: int, keys: np.ndarray) -> np.ndarray:
         out = np.zeros(len(keys))
@@ -193,7 +193,7 @@ def _by_broadcast(docs: DataFrame, tables: DataFrame, bits: int, stats: tuple[in
                 ids.append(i.as_py())
                 texts.append(t.as_py())
                 size += len(texts[-1] or "")
-                if size >= 4_000_000:
+                if size >= 2_000_000:
                     yield _scored(ids, texts, blocks, *stats, memo)
                     ids, texts, size = [], [], 0
             if ids:

@@ -18,7 +18,7 @@ _S1, _S2 = np.uint64(31), np.uint64(27)
 class WordHashes(dict):
     """64-bit hash of each word, remembered; forgotten when too many have been seen."""
 
-    LIMIT = 500_000
+    LIMIT = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

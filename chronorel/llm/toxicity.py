@@ -51,7 +51,7 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for w in _words(t.as_py()):
                 f = memo.get(w)
                 if f is None:
-                    if len(memo) > 300_000:
+                    if len(memo) > 100_000:
                         memo.clear()
                     f = memo[w] = word_features(w)
                 out += f
@@ -166,7 +166,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 for w in _words(t.as_py()):
                     x = memo.get(w)
                     if x is None:
-                        if len(memo) > 300_000:
+                        if len(memo) > 100_000:
                             memo.clear()
                         x = memo[w] = sum(weights.get(f, 0.0) for f in word_features(w))
                     total += x
@@ -204,7 +204,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
                 for w in _words(t.as_py()):
                     x = memo.get(w)
                     if x is None:
-                        if len(memo) > 300_000:
+                        if len(memo) > 100_000:
                             memo.clear()
                         x = memo[w] = sum(weights.get(f, 0.0) for f in word_features(w))
                     total += x
