@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, ship_package
-from .shingles import WordHashes, mix, word_hashes
+from .shingles import WordHashes, lean, mix, word_hashes
 
 #: Keys a block aims at, tokens a chunk aims at, and the largest broadcast.
 BLOCK_KEYS, CHUNK_TOKENS, BROADCAST_BYTES = 1_000_000, 1_000_000, 192 << 20
@@ -199,7 +199,7 @@ def _by_broadcast(docs: DataFrame, tables: DataFrame, bits: int, stats: tuple[in
             if ids:
                 yield _scored(ids, texts, blocks, *stats, memo)
 
-    return docs.mapInArrow(run, _SCORES)
+    return docs.mapInArrow(lean(run), _SCORES)
 
 
 def _by_chunks(docs: DataFrame, tables: DataFrame, bits: int, stats: tuple[int, int, int], chunks: int) -> DataFrame:
@@ -238,7 +238,7 @@ def _by_chunks(docs: DataFrame, tables: DataFrame, bits: int, stats: tuple[int,
             return pa.Table.from_batches([], schema=pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]))
         return pa.Table.from_batches([_scored(own.column("doc_id").to_pylist(), own.column("text").to_pylist(), ask, *stats, memo)])
 
-    asked = dealt.select("chunk", "text").mapInArrow(wanted, "chunk int, kind int, block int, keys binary")
+    asked = dealt.select("chunk", "text").mapInArrow(lean(wanted), "chunk int, kind int, block int, keys binary")
     answers = asked.groupBy("kind", "block").cogroup(tables.select("kind", "block", "data", "more").groupBy("kind", "block")).applyInArrow(answer, "chunk int, kind int, keys binary, vals binary")
     return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, _SCORES)
 
@@ -256,7 +256,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 0, F.lit(False))
     chars = base.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     bits = max(0, int(np.ceil(np.log2(max(1, chars / 6 / BLOCK_KEYS)))))
-    packed = base.filter(~held).select("text").mapInArrow(_counter(bits), "kind int, block int, keys binary, counts binary")
+    packed = base.filter(~held).select("text").mapInArrow(lean(_counter(bits)), "kind int, block int, keys binary, counts binary")
     tables = materialise(packed.groupBy("kind", "block").applyInArrow(_block, "kind int, block int, data binary, more binary, total long, types long, once long"), "lm-tables")
     total = tables.groupBy("kind").agg(F.sum("total"), F.sum("types"), F.sum("once"), F.sum(F.length("data") + F.length("more")).alias("bytes")).collect()
     n, v, once = next(((r[1], r[2], r[3]) for r in total if r[0] == 0), (0, 0, 0))

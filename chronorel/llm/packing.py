@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, ship_package
+from .shingles import lean
 
 WINDOW, END_ID, SALTS, COMBINATIONS = 2048, 1, 64, 60_000
 
@@ -197,7 +198,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
     spark = docs.sparkSession
     ship_package(spark)
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", input_ids array<int>" * with_ids
-    pieces = materialise(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_t")).mapInArrow(_cutter(tokenizer_path, window, end_id, with_ids), schema), "pack-pieces")
+    pieces = materialise(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_t")).mapInArrow(lean(_cutter(tokenizer_path, window, end_id, with_ids)), schema), "pack-pieces")
     salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)).cast("int"))
     counts = materialise(salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n")), "pack-counts")  # at most window * SALTS rows
     hist = np.zeros(window + 1, np.int64)

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship_package
+from .shingles import give_back, lean
 
 #: Bounds of the training sample, taken in order of a hash of the id.
 MAX_POSITIVE, MAX_UNLABELLED = 3_000, 9_000
@@ -147,10 +148,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     positive = fold.filter("_toxic = 1").orderBy(order).limit(max_positive).withColumn("_toxic", F.lit(1))
     unlabelled = fold.orderBy(order).limit(max_unlabelled).withColumn("_toxic", F.lit(0))  # drawn from all rows, labels dropped
     sample = F.broadcast(positive.unionByName(unlabelled))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(sample, "_id").select("_toxic", "_t").mapInArrow(_featurise, "toxic int, features array<int>").toArrow()
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(sample, "_id").select("_toxic", "_t").mapInArrow(lean(_featurise), "toxic int, features array<int>").toArrow()
     kinds, feats = rows.column("toxic").to_numpy(), rows.column("features")
     arrays = [np.asarray(x.values.to_numpy(zero_copy_only=False)) for x in feats]
-    return fit([a for a, k in zip(arrays, kinds, strict=True) if k == 1], [a for a, k in zip(arrays, kinds, strict=True) if k == 0], toxic / n)
+    model = fit([a for a, k in zip(arrays, kinds, strict=True) if k == 1], [a for a, k in zip(arrays, kinds, strict=True) if k == 0], toxic / n)
+    del rows, feats, arrays
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -173,7 +177,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 out.append(total)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(np.asarray(out, float), -30, 30))), pa.float64())], names=["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_t")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_t")).mapInArrow(lean(run), "doc_id long, score double")
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **names: str) -> DataFrame:
@@ -211,4 +215,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
                 keep.append(total < limit)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
