@@ -31,7 +31,7 @@ from .shingles import WordHashes, lean, mix, word_hashes
 #: Keys a block aims at, tokens a chunk aims at, and the largest broadcast.
 BLOCK_KEYS, CHUNK_TOKENS, BROADCAST_BYTES = 1_000_000, 1_000_000, 192 << 20
 BASE_LOG, HASHES, BITS_PER_KEY = 1.5, 6, 10
-INTERPOLATION, MIN_PAIR = 0.25, 2
+INTERPOLATION = 0.25
 _END, _MUL = np.uint64(0x656E64), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -120,8 +120,7 @@ def _block(key: tuple, group: pa.Table) -> pa.Table:
     keys, counts = keys[first], np.add.reduceat(counts, first)
     total, types, once = int(counts.sum()), len(keys), int((counts == 1).sum())
     if kind:
-        often = counts >= MIN_PAIR
-        data, more = build_filter(keys[often], counts[often]).tobytes(), b""
+        data, more = build_filter(keys, counts).tobytes(), b""
     else:
         data, more = keys.tobytes(), counts.astype(np.uint32 if counts.max() < 2**32 else np.int64).tobytes()
     return pa.table({"kind": pa.array([kind], pa.int32()), "block": pa.array([block], pa.int32()), "data": pa.array([data], pa.binary()), "more": pa.array([more], pa.binary()), "total": [total], "types": [types], "once": [once]})

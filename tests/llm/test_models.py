@@ -119,6 +119,18 @@ def test_filter_levels():
     assert (other > 0).mean() < 0.03
 
 
+def test_pairs_seen_once_count(docs_of):
+    held = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 10 == 0]
+    train = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 10]
+    rows = [(train[k], f"a{k} b{k}") for k in range(200)]
+    rows += [(held[k], f"a{k} b{k}") for k in range(40)] + [(held[40 + k], f"a{k} b{k + 100}") for k in range(40)]
+    for limit in (S.BROADCAST_BYTES, 0):
+        got = {r["doc_id"]: r for r in S.score_texts(docs_of(rows), broadcast_bytes=limit).collect()}
+        higher = [got[held[k]]["score"] - got[held[40 + k]]["score"] for k in range(40)]
+        assert min(higher) >= 0 and np.mean([x > 1 for x in higher]) > 0.8  # the rest: false positives of the filter
+        assert all(got[held[k]]["base_score"] == pytest.approx(got[held[40 + k]]["base_score"]) for k in range(40))
+
+
 def test_empty_model(docs_of):
     assert S.score_texts(docs_of([])).count() == 0
     only_held = next(i for i in range(1000) if zlib.crc32(str(i).encode()) % 10 == 0)
