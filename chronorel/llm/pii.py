@@ -7,10 +7,13 @@ further, overlapping spans; gradient-boosted trees judge them by format and
 context, and a span whose calibrated score reaches its kind's threshold is
 added unless it overlaps a base span of that kind.
 
-The trees are fitted on a bounded sample of candidates (labelled by whether a
-verified base span covers them, with the proving format hidden where the
-generator drops it) and then written out as one SQL expression, so the whole
-corpus is processed by JVM expressions in a single map stage.
+The trees learn from candidates that no base span overlaps, since only such can
+be added.  Positives are verified spans rewritten into forms the base patterns
+do not know (obfuscated, prefix-less, otherwise divided or shorter); negatives
+are decoys made of the same spans and candidates that their format or context
+proves to be something else (numbers, versions, dates, ids).  Other candidates
+have no label.  The trees are then written out as one SQL expression, so the
+whole corpus is processed by JVM expressions in a single map stage.
 """
 
 from __future__ import annotations
@@ -25,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import materialise, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
-#: Bounds of the training sample: texts and candidates.
-TRAIN_TEXTS, TRAIN_SPANS = 1_500, 4_000
+#: Bounds of the training sample: texts, candidates of a kind, and verified spans of a kind that are rewritten.
+TRAIN_TEXTS, TRAIN_SPANS, TRAIN_SOURCES = 1_500, 4_000, 400
 ROUNDS, DEPTH, RATE, PRECISION = 24, 3, 0.3, 0.98
 
 _LOCAL = "A-Za-z0-9._%+-"
@@ -125,6 +128,43 @@ def _features(c: str) -> str:
     return "struct(" + ", ".join(f"cast({values[f]} as double) as {f}" for f in FEATURES) + ")"
 
 
+def _rewritten(kind: str) -> list[tuple[int, str, str]]:
+    """(label, text before, span) of what training makes of a verified span ``x``."""
+    digits = "regexp_replace(x.m, '[^0-9]', '')"
+    local, host = "substring_index(x.m, '@', 1)", "substring_index(x.m, '@', -1)"
+    late = lambda m, dot: f"regexp_replace({m}, '[.](?=[^.]*$)', '{dot}')"
+    valid = lambda n: f"element_at(filter(transform(sequence(0, 9), z -> concat(substr({digits}, 1, {n - 1}), z)), y -> {_luhn('y')}), 1)"
+    broken = lambda m: f"concat(left({m}, length({m}) - 1), pmod(cast(right({m}, 1) as int) + 1, 10))"
+    by = lambda m, n, mark: f"regexp_replace({m}, '(.{{{n}}})(?=.)', '$1{mark}')"
+    if kind == "email":
+        real = [late("replace(x.m, '@', ' (at) ')", " (dot) "), late("replace(x.m, '@', ' [at] ')", " [dot] "), "replace(x.m, '@', ' @ ')"]
+        return [*[(1, "x.pre", m) for m in real], (0, "x.pre", f"concat({local}, ' @ ', substring_index({host}, '.', 1), '. ', initcap(substring_index({host}, '.', -1)))"), (0, "x.pre", f"concat({local}, ' @ ', length(x.m), '.', 10 + length(x.pre))")]
+    if kind == "ip":
+        hidden = "replace(x.m, '.', '[.]')"
+        return [(1, "x.pre", hidden), (0, "x.pre", "replace(x.m, '.', ',')"), (0, "x.pre", f"concat(regexp_replace({hidden}, '[0-9]+$', ''), 256 + pmod(xxhash64(x.m), 700))")]
+    if kind == "card":
+        real = [by(digits, 4, "."), by(digits, 4, "/"), valid(15), by(valid(13), 4, "-"), by(valid(14), 4, ".")]
+        return [*[(1, "x.pre", m) for m in real], *[(0, "x.pre", broken(m)) for m in real], (0, "concat(x.pre, ' item id=')", valid(15))]
+    real = ["regexp_replace(x.m, '^[+]', '')", "regexp_replace(x.m, '^[+][0-9]{1,3}[ .-]+', '')"]
+    day = "date_format(date_add(date'2000-01-01', cast(pmod(xxhash64(x.m), 9000) as int)), 'yyyy-MM-dd')"
+    return [*[(1, "x.pre", m) for m in real], (0, "x.pre", day), (0, "concat(x.pre, ' item id=')", digits), (0, "concat(x.pre, ' version ')", by(digits, 2, "."))]
+
+
+#: Text before a candidate that makes it an id.
+_ID_BEFORE = "(token|key|sha|hash|version|isbn|(^|[^a-z])id|=)[ :=#\"]*$"
+
+
+def _other(kind: str, c: str, f: str) -> str:
+    """Condition under which a candidate without base span is surely no personal data of its kind."""
+    named = f"lower({c}.pre) rlike '{_ID_BEFORE}'"
+    return {
+        "email": f"{c}.m rlike '@[ ]?[A-Za-z0-9-]+[.][ ][A-Z]' or not {c}.m rlike '[A-Za-z]{{2,}}$'",
+        "ip": f"{f}.small_parts = 0 or {c}.m rlike ','",
+        "card": f"{f}.luhn = 0 or {named}",
+        "phone": f"{named} or {f}.before_word = 1 or ({f}.cue_contact = 0 and {c}.m rlike '^[0-9]+$') or {c}.m rlike '^[0-9]{{1,3}}([.][0-9]{{1,3}})+$|^(19|20)[0-9]{{2}}[-/.][0-9]{{1,2}}[-/.][0-9]{{1,2}}'",
+    }[kind]
+
+
 @dataclass
 class Trees:
     """Boosted trees of one kind: nested (feature, cut, low, high) tuples with leaf numbers, and the log-odds threshold."""
@@ -198,17 +238,41 @@ def fit_trees(rows: list[list[float]], labels: list[int]) -> Trees:
     return model
 
 
+def _training_rows(sample: DataFrame) -> DataFrame:
+    """(kind, label, made, f, o) of labelled candidates without base span; made: from a verified span; o orders them."""
+    based = _base(sample)
+    spans = [f"transform({k}, x -> struct('{k}' as kind, x.m as m, substr(_text, greatest(x.s - 24, 0) + 1, least(24, x.s)) as pre, substr(_text, x.e + 1, 8) as post))" for k in KINDS]
+    spans = materialise(based.select(F.explode(F.expr(f"concat({', '.join(spans)})")).alias("x")).filter("length(x.m) <= 100").distinct(), "pii-verified")
+    made = None
+    for kind in KINDS:
+        some = spans.filter(F.col("x.kind") == kind).orderBy(F.xxhash64("x.m", "x.pre"), "x").limit(TRAIN_SOURCES)
+        forms = ", ".join(f"struct({label} as label, {pre} as pre, {m} as m)" for label, pre, m in _rewritten(kind))
+        rows = some.select("x", F.explode(F.expr(f"array({forms})")).alias("w")).filter("w.m is not null")
+        rows = rows.select(F.col("x.kind").alias("_kind"), F.col("w.label").alias("_label"), F.length("w.pre").alias("_s"), F.length(F.concat("w.pre", "w.m")).alias("_e"), F.concat("w.pre", "w.m", "x.post").alias("_text"))
+        made = rows if made is None else made.unionByName(rows)
+    made = materialise(made, "pii-rewritten")
+    made = _candidates(_base(made)).select("_kind", "_label", "_s", "_e", F.explode("cands").alias("c")).filter("not c.hit and c.kind = _kind and c.s = _s and c.e = _e")
+    made = made.select("c.kind", F.col("_label").alias("label"), F.lit(True).alias("made"), F.expr(_features("c")).alias("f"), F.expr("xxhash64(c.m, c.pre)").alias("o"))
+    found = _candidates(based).select(F.explode("cands").alias("c")).filter("not c.hit").select("c", F.expr(_features("c")).alias("f"))
+    other = " ".join(f"when c.kind = '{k}' then {_other(k, 'c', 'f')}" for k in KINDS)
+    found = found.filter(F.expr(f"case {other} end")).select("c.kind", F.lit(0).alias("label"), F.lit(False).alias("made"), "f", F.expr("xxhash64(c.m, c.pre)").alias("o"))
+    return made.unionByName(found)
+
+
 def train_trees(docs: DataFrame, text_col: str = "text") -> dict[str, Trees]:
-    """Fit a model per kind on candidates of at most TRAIN_TEXTS texts, at most TRAIN_SPANS of each kind."""
+    """Fit a model per kind on labelled candidates of at most TRAIN_TEXTS texts, at most TRAIN_SPANS of each kind.
+
+    All that are made of verified spans take part; found ones fill up the rest.
+    """
     text = text_or_empty(text_col)
     sample = docs.select(text.alias("_text")).filter(F.col("_text").rlike("[0-9@]")).orderBy(F.xxhash64("_text")).limit(TRAIN_TEXTS)
     sample = materialise(sample, "pii-sample")
-    cands = _candidates(_base(sample)).select(F.explode("cands").alias("c")).select("c.kind", "c.hit", F.expr(_features("c")).alias("f"), F.expr("xxhash64(c.m, c.pre)").alias("o"))
-    cands = materialise(cands, "pii-candidates")
+    cands = materialise(_training_rows(sample), "pii-candidates")
     out = {}
     for kind in KINDS:
-        rows = cands.filter(F.col("kind") == kind).orderBy("o").limit(TRAIN_SPANS).select("hit", "f").collect()
-        out[kind] = fit_trees([[float(x) for x in r["f"]] for r in rows], [int(r["hit"]) for r in rows])
+        rows = cands.filter(F.col("kind") == kind).orderBy(F.desc("made"), "o").limit(TRAIN_SPANS).select("label", "f", "o").collect()
+        rows.sort(key=lambda r: (r["o"], r["label"], r["f"]))
+        out[kind] = fit_trees([[float(x) for x in r["f"]] for r in rows], [r["label"] for r in rows])
     return out
 
 

@@ -287,6 +287,25 @@ def test_trees_add_what_looks_alike(spark, docs_of):
     assert {r["doc_id"]: r["text"] for r in I.redact(found).collect()}[3] == "mail [email]"
 
 
+def test_trees_add_hidden_forms(spark, docs_of):
+    rnd = random.Random(11)
+
+    def card():
+        d = "4" + "".join(str(rnd.randrange(10)) for _ in range(14))
+        return d + next(str(c) for c in range(10) if luhn(d + str(c)))
+
+    num = lambda: f"({rnd.randrange(200, 999)}) 555-{rnd.randrange(1000, 9999)}"
+    rows = [(n, f"mail u{n}.x@host{n}.com or host 10.{n % 256}.7.{n % 99} or card {card()} or call +1 {num()} today") for n in range(400)]
+    rows += [(1000 + n, f"please call {num()} or write to n{n} (at) mail (dot) org or see 10[.]1[.]{n}[.]9 soon") for n in range(200)]
+    models = I.train_trees(docs_of(rows))
+    hidden = {"email": ["jo.doe (at) site (dot) com", "jo.doe @ site.com"], "ip": ["10[.]20[.]30[.]40"], "card": ["3782.8224.6310.005", "4111.1111.1111.1111"], "phone": ["(253) 555-1234"]}
+    others = ["meet me @ home. Then go", "buy 10 @ 3.50 now", "1,200,300,400", "3[.]1[.]999[.]4", "4111.1111.1111.1112", "item id=12345678901", "on 2024-01-15 we"]
+    asked = [(kind, f"so take {m} please") for kind, forms in hidden.items() for m in forms] + [(None, t) for t in others]
+    found = {r["doc_id"]: r["spans"] for r in I.span_report(I.find_personal_data(docs_of([(n, t) for n, (_, t) in enumerate(asked)]), models)).collect()}
+    for n, (kind, t) in enumerate(asked):
+        assert found[n] == (f"{kind}:8:{len(t) - 7}" if kind else ""), t
+
+
 # pipeline
 
 
