@@ -116,6 +116,12 @@ def test_near(docs_of, k, seed, monkeypatch):
     assert sorted(map(tuple, got)) == brute_near(rows, k)
 
 
+def test_near_misses_are_rare():
+    from chronorel.llm.near_dedup import BANDS, ROWS
+
+    assert 2 * (1 - 0.8**ROWS) ** BANDS < 2.1e-4  # as 9 bands of 2 had it
+
+
 def test_near_odd_rows(docs_of, odd):
     got = near_duplicates(docs_of(odd), shingle_words=5).collect()
     assert len(got) == len(odd)
