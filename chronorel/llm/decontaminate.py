@@ -1,13 +1,14 @@
-"""Benchmark decontamination: size-partitioned MinHash containment search.
+"""Benchmark decontamination: containment search with an exact prefix filter on bottom minhashes.
 
 A benchmark item with ``q`` distinct shingles is contained in a text if at
-least ``need = ceil(q * percent / 100)`` of them occur there.  Items are
-partitioned by size; an item of size ``q`` is indexed under its bottom
+least ``need = ceil(q * percent / 100)`` of them occur there.  An
+item of size ``q`` is indexed under its bottom
 ``q - need + 1`` minhashes.  By the pigeonhole principle a text that contains
 the item holds at least one of these, so short items are found inside documents
 of any length with no loss, which banded signatures of whole documents cannot
-promise (their Jaccard similarity to a short item is close to 0).  A text is
-only probed against size partitions that fit into it.  Candidates are verified
+promise (their Jaccard similarity to a short item is close to 0).  There are
+no size partitions: hits in texts with fewer than ``need`` shingles are dropped
+after the join.  Candidates are verified
 on the shingles themselves.
 """
 
