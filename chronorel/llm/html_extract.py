@@ -283,9 +283,9 @@ def main_text(page: str | None, weights: np.ndarray) -> str:
 
 
 def train_weights(pages: DataFrame, html_col: str = "html", max_pages: int = TRAIN_PAGES) -> np.ndarray:
-    """Fit on at most ``max_pages`` pages, taken in order of a hash of the page."""
+    """Fit on at most ``max_pages`` whole pages, taken in order of a hash of the page."""
     sample = pages.select(F.col(html_col).alias("_h")).filter("_h is not null").orderBy(F.xxhash64("_h")).limit(max_pages)
-    return fit_classifier([r[0] for r in sample.select(F.substring("_h", 1, 200_000)).collect()])  # of training pages only
+    return fit_classifier([r[0] for r in sample.collect()])
 
 
 def extract_main_text(pages: DataFrame, weights: np.ndarray | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

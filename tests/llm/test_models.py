@@ -226,6 +226,14 @@ def test_page_parts(spark):
     assert E.main_text(plain, weights).count("\n") == 1
 
 
+def test_training_pages_are_whole(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(E, "fit_classifier", seen.extend)
+    pages = ["<article><p>" + "word " * 50_000 + "</p></article><footer>end</footer>", "<p>a</p>"]
+    E.train_weights(spark.createDataFrame([(p,) for p in pages], "html string"))
+    assert sorted(seen) == sorted(pages)
+
+
 def test_odd_pages(spark):
     pages = [(1, "u", None), (2, "u", ""), (3, None, "<"), (4, "u", "<p>" * 3000 + "text"), (5, "u", "<script>never closed"), (6, "u", "a < b <c d='>'>e"), (None, "u", "<article><p>" + "long words. " * 20_000), (2, "u", "")]
     got = E.extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
