@@ -74,3 +74,10 @@ def frequent_hashes(df: DataFrame, col: str, counters: int) -> list[int]:
     """
     row = df.freqItems([col], 1.0 / counters).first()
     return [x for x in (row[0] or []) if x is not None] if row else []
+
+
+def distinct_sample(df: DataFrame, column: str, n: int) -> DataFrame:
+    """At most ``n`` distinct values of a text column, first by hash; only hashes of all rows are shuffled."""
+    hashed = df.select(F.col(column), F.xxhash64(column).alias("_o"))
+    first = hashed.select("_o").distinct().orderBy("_o").limit(n)
+    return hashed.join(F.broadcast(first), "_o", "left_semi").groupBy("_o").agg(F.min(column).alias(column)).select(column)

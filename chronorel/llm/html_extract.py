@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_package
+from .common import distinct_sample, ship_package
 
 TRAIN_PAGES = 400
 ADJACENT, SIBLING = 0.8, 0.5
@@ -283,8 +283,8 @@ def main_text(page: str | None, weights: np.ndarray) -> str:
 
 
 def train_weights(pages: DataFrame, html_col: str = "html", max_pages: int = TRAIN_PAGES) -> np.ndarray:
-    """Fit on at most ``max_pages`` whole pages, taken in order of a hash of the page."""
-    sample = pages.select(F.col(html_col).alias("_h")).filter("_h is not null").orderBy(F.xxhash64("_h")).limit(max_pages)
+    """Fit on at most ``max_pages`` distinct whole pages, taken in order of a hash of the page."""
+    sample = distinct_sample(pages.select(F.col(html_col).alias("_h")).filter("_h is not null"), "_h", max_pages)
     return fit_classifier([r[0] for r in sample.collect()])
 
 

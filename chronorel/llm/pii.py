@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_or_empty
+from .common import distinct_sample, materialise, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 #: Bounds of the training sample: texts, candidates of a kind, and verified spans of a kind that are rewritten.
@@ -260,12 +260,12 @@ def _training_rows(sample: DataFrame) -> DataFrame:
 
 
 def train_trees(docs: DataFrame, text_col: str = "text") -> dict[str, Trees]:
-    """Fit a model per kind on labelled candidates of at most TRAIN_TEXTS texts, at most TRAIN_SPANS of each kind.
+    """Fit a model per kind on labelled candidates of at most TRAIN_TEXTS distinct texts, at most TRAIN_SPANS of each kind.
 
     All that are made of verified spans take part; found ones fill up the rest.
     """
     text = text_or_empty(text_col)
-    sample = docs.select(text.alias("_text")).filter(F.col("_text").rlike("[0-9@]")).orderBy(F.xxhash64("_text")).limit(TRAIN_TEXTS)
+    sample = distinct_sample(docs.select(text.alias("_text")).filter(F.col("_text").rlike("[0-9@]")), "_text", TRAIN_TEXTS)
     sample = materialise(sample, "pii-sample")
     cands = materialise(_training_rows(sample), "pii-candidates")
     out = {}

@@ -233,6 +233,13 @@ def test_training_pages_are_whole(spark, monkeypatch):
     E.train_weights(spark.createDataFrame([(p,) for p in pages], "html string"))
     assert sorted(seen) == sorted(pages)
 
+def test_samples_are_of_distinct_texts(spark):
+    from chronorel.llm.common import distinct_sample
+
+    frame = spark.createDataFrame([(t,) for t in [*["copy"] * 500, *map(str, range(20))]], "t string")
+    assert len({r[0] for r in distinct_sample(frame, "t", 50).collect()}) == 21 == distinct_sample(frame, "t", 50).count()
+    assert len({r[0] for r in distinct_sample(frame, "t", 8).collect()}) == 8 == distinct_sample(frame, "t", 8).count()
+
 
 def test_odd_pages(spark):
     pages = [(1, "u", None), (2, "u", ""), (3, None, "<"), (4, "u", "<p>" * 3000 + "text"), (5, "u", "<script>never closed"), (6, "u", "a < b <c d='>'>e"), (None, "u", "<article><p>" + "long words. " * 20_000), (2, "u", "")]
