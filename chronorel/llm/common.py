@@ -7,8 +7,11 @@ ASCII-only on purpose, so that the JVM side, numpy side and SQL side agree.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,11 +27,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Scratch tables written by this process, oldest first.
+_written: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    """The folder of spark.checkpoint.dir; a temporary one only where none is set and all runs in one process (tests)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chronorel-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="chronorel-"))
     return sc.getCheckpointDir()
 
 
@@ -41,13 +51,49 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def settle(build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """Materialise what ``build`` returns, then delete the scratch tables that were only steps towards it."""
+    before = len(_written)
+    done = materialise(build(), name)
+    for path in _written[before:-1]:
+        _delete(done.sparkSession, path)
+    del _written[before:-1]
+    return done
+
+
 def purge_scratch(spark: SparkSession) -> None:
     """Delete every scratch table of this session (call when no result reads them any more)."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/scratch")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_dir(spark)}/scratch")
+    _written.clear()
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, identity: list[Column]) -> DataFrame:
+    """The rows of ``docs``, all columns, whose ``identity`` (expressions over docs) is no row of ``gone``; nulls are equal."""
+    names = unused(docs, *gone.columns)
+    gone = gone.toDF(*names)
+    same = [mine.eqNullSafe(F.col(theirs)) for mine, theirs in zip(identity, names, strict=True)]
+    return docs.join(gone, reduce(lambda a, b: a & b, same), "left_anti")
 
 
 def text_or_empty(col: str | Column) -> Column:

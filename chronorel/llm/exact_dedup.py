@@ -7,16 +7,17 @@
 3. Their exact counts and winners come from a map-side combined aggregate; the
    winners that are verified to be that frequent (at most ``counters`` rows) are
    broadcast, so the hot rows are settled in the map stage and never shuffled.
-4. All other digests take an ordinary shuffle; no group there exceeds
-   rows/counters.
+4. All other digests take an ordinary shuffle: an aggregate that combines on the
+   map side gives each its winner, and the rows join it.  No group there exceeds
+   rows/counters, and none is held in memory.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, frequent_hashes, materialise, text_or_empty
+from .common import WHITE, frequent_hashes, materialise, text_or_empty, without_rows
 
 #: Misra-Gries counters: bounds the broadcast and the largest shuffled group (rows / COUNTERS).
 COUNTERS = 512
@@ -41,18 +42,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     total = rows.count()
     winners = materialise(stats.filter(F.col("group_size") > total / counters), "exact-winners")  # fewer than `counters` rows
     hot = rows.join(F.broadcast(winners), "text_sha256")
-    every = Window.partitionBy("text_sha256")
-    cold = (
-        rows.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti")
-        .withColumn("keep_id", F.min("doc_id").over(every))
-        .withColumn("group_size", F.count(F.lit(1)).over(every))
-    )
+    rest = rows.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti")
+    groups = rest.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))  # map-side combined
+    cold = rest.join(groups, "text_sha256")
     out = ["doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), "text_sha256"]
     return hot.select(*out).unionByName(cold.select(*out))
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
-    """The rows of docs, all columns, that exact_dedup keeps."""
-    rejected = exact_dedup(docs, id_col, text_col, counters).filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    marked = docs.withColumn("_digest", normalised_digest(text_col))
-    return marked.join(rejected, (F.col("_digest") == F.col("_sha")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_anti").drop("_digest")
+    """The rows of docs, all columns, that exact_dedup keeps.
+
+    Null texts are empty ones, hence copies of each other.  Rows that repeat
+    both id and text stay or go together; a null id stays only in a group
+    without other ids.  Empty tables stay empty; columns may have any names.
+    """
+    rejected = exact_dedup(docs, id_col, text_col, counters).filter(~F.col("kept")).select("doc_id", "text_sha256").distinct()
+    return without_rows(docs, rejected, [F.col(id_col), normalised_digest(text_col)])

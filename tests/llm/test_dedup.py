@@ -203,3 +203,38 @@ def test_one_text_for_all(docs_of):
 @pytest.mark.parametrize("make", [exact_dedup, drop_common_lines, near_duplicates, shard_by_bytes])
 def test_empty_table(docs_of, make):
     assert make(docs_of([])).count() == 0
+
+
+def rows_left(frame):
+    return sorted((tuple(r)[:2] for r in frame.collect()), key=repr)
+
+
+def test_stages_drop_rows_not_ids(spark, docs_of):
+    """Null and repeated ids: only rows that are copies or hold a passage themselves go."""
+    text = " ".join(f"t{n}" for n in range(60))
+    near, other, last = text + " end", " ".join(f"o{n}" for n in range(40)), " ".join(f"l{n}" for n in range(40))
+    rows = [(1, text), (None, text.upper()), (None, near), (None, other), (2, near), (2, last), (3, text), (3, text), (4, None), (5, ""), (None, last)]
+    docs = docs_of(rows)
+    assert rows_left(drop_near_copies(docs, shingle_words=5)) == sorted([(1, text), (None, other), (2, last), (4, None), (5, "")], key=repr)
+    kept = drop_exact_copies(docs)
+    assert kept.columns == docs.columns
+    gone = Counter([(3, text), (3, text), (5, ""), (None, near), (None, last)])
+    assert rows_left(kept) == sorted((Counter(rows) - gone).elements(), key=repr)
+    bench = spark.createDataFrame([(7, other), (8, last)], "item_id long, text string")
+    clean = drop_contaminated(docs, bench)
+    assert clean.columns == docs.columns
+    assert rows_left(clean) == sorted([r for r in rows if r[1] not in (other, last)], key=repr)
+
+
+def test_near_links_null_ids(docs_of):
+    text = " ".join(f"t{n}" for n in range(60))
+    rows = [(None, text), (5, text + " end"), (None, "x y"), (9, text), (None, "x y")]
+    got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in near_duplicates(docs_of(rows)).collect()), key=repr)
+    assert got == sorted([(None, 5, False), (5, 5, True), (9, 5, False), (None, None, True), (None, None, True)], key=repr)
+
+
+def test_items_of_every_length_in_one_pass(spark, docs_of):
+    items = [(n, " ".join(f"w{k}" for k in range(n))) for n in range(1, 12)] + [(3, "W0 W1  W2"), (20, "a a a a a a"), (20, "a a a a a a a")]
+    rows = [(n, "so " + " ".join(f"w{k}" for k in range(n)) + " it") for n in range(0, 12)] + [(30, "a " * 9)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {tuple(r)[:4] for r in contained_items(docs_of(rows), bench).collect()} == brute_contained(rows, items)
