@@ -3,14 +3,21 @@
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept
 and returns the columns of documents, but for the last, which returns packed
 pieces.  Outputs are written as Parquet to the shared checkpoint folder and read
-again between stages, so a lost executor never repeats an earlier stage.
+again between stages, so a lost executor never repeats an earlier stage; the
+tables that a stage needed on its way are deleted when its output stands.
+
+All stages: a null text is empty and stays (of several, one), null and repeated
+ids are rows like others and go for their own text only, empty tables stay
+empty, and further columns pass through whatever their names.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 
-from chronorel.llm.common import materialise, table
+from chronorel.llm.common import settle, table
 from chronorel.llm.decontaminate import drop_contaminated
 from chronorel.llm.exact_dedup import drop_exact_copies
 from chronorel.llm.near_dedup import drop_near_copies
@@ -54,5 +61,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; rows of the last one."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = settle(partial(stage, spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
