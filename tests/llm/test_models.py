@@ -190,7 +190,8 @@ def test_min_cut_equals_brute_force():
     for _ in range(60):
         n = rnd.randrange(1, 8)
         source, sink = [rnd.random() for _ in range(n)], [rnd.random() for _ in range(n)]
-        edges = [(i, j, rnd.random() * 0.5) for i in range(n) for j in range(i) if rnd.random() < 0.5]
+        chain = [(i - 1, i, rnd.random()) for i in range(1, n)] + [(0, n - 1, rnd.random())] * (n > 2)
+        edges = chain if rnd.random() < 0.5 else [(i, j, rnd.random() * 0.5) for i in range(n) for j in range(i) if rnd.random() < 0.5]
 
         def cost(side):
             return sum(sink[i] if s else source[i] for i, s in enumerate(side)) + sum(w for i, j, w in edges if side[i] != side[j])
@@ -219,20 +220,105 @@ PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><h1
 <section class="comments"><p>I think this is a great comment, thanks.</p></section><footer>&copy; 2020</footer></body></html>"""
 
 
+def fitted(pages):
+    rows = [r for k, p in enumerate(pages) for r in E.training_rows(p, bool(k & 1))]
+    label, gap, same, x = zip(*rows, strict=True)
+    return E.fit_costs(np.array(x), *(np.array(c, float) for c in (label, gap, same)))
+
+
+@pytest.fixture(scope="module")
+def page_costs():
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
+    return pages, fitted(pages)
+
+
 def test_page_parts(spark):
-    weights = E.train_weights(spark.read.parquet(f"{SF}/pages.parquet"))
-    assert E.main_text(PAGE, weights) == "Big & news\nFirst long sentence of the story, with words.\nSecond sentence goes on here <ok>."
+    costs = E.train_costs(spark.read.parquet(f"{SF}/pages.parquet"))
+    assert E.main_text(PAGE, costs) == "Big & news\nFirst long sentence of the story, with words.\nSecond sentence goes on here <ok>."
     plain = "<p>Nothing tells what this is, but it reads like a text. It has sentences.</p><p>And a second paragraph follows it, as one would expect.</p>"
-    assert E.main_text(plain, weights).count("\n") == 1
+    assert E.main_text(plain, costs).count("\n") == 1
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<article><p>Text is good and long here.</p><p class="advert">Buy it now, it is good for you.</p><p id="cookie-notice">We use cookies for all.</p><p>Last text here.</p></article>', "Text is good and long here.\nLast text here."),
+        ("<article><p>Seen text stands here.</p><p hidden>Not seen at all.</p><p>More <span hidden>unseen</span> text <span style='display: none'>gone</span> follows.</p></article>", "Seen text stands here.\nMore text follows."),
+        ('<body class="sidebar-right has-banner"><article><p>Good text of the body.</p></article></body>', "Good text of the body."),
+        ('<div class="wrap menu-open"><main><p>Good text of the main part.</p></main></div>', "Good text of the main part."),
+        ('<article id="related-rates"><p>Rates are related.</p></article>', "Rates are related."),
+        ('<div class="social-history"><p>A social history of the town.</p></div>', "A social history of the town."),
+        ("<article><p>A<svg><svg><text>in</text></svg><text>leak</text></svg> b.</p></article>", "A b."),
+        ("<article><script/>var a;</script><p>Seen.</p></article>", "Seen."),
+        ("<article><p>One <script>if (a<b) x()</script>text.<p>Two &amp; &#233;.</article>", "One text.\nTwo & é."),
+        ('<article><p>The story is told.</p></article><section class="comments"><p>I think this is a great comment, thanks.</p></section>', "The story is told."),
+    ],
+)
+def test_elements_and_names(page_costs, page, text):
+    assert E.main_text(page, page_costs[1]) == text
+
+
+def without_roles(page):
+    return re.sub(r"<(/?)(nav|article|footer)\b", r"<\1div", page).replace(' class="ad"', "")
+
+
+def test_cut_decides_where_roles_are_missing(page_costs):
+    """The fixture without containers and names: single blocks mislead the classifier, the cut restores the article."""
+    pages, costs = page_costs
+    alone = cut = 0
+    for page in pages:
+        blocks = E.parse_blocks(without_roles(page))
+        want = set(article_text(page).split("\n"))
+        alone += sum((z > 0) != (b.text in want) for z, b in zip(E.block_logits(blocks, costs), blocks, strict=True))
+        cut += sum(c != (b.text in want) for c, b in zip(E.label_blocks(blocks, costs), blocks, strict=True))
+        assert E.main_text(without_roles(page), costs) == article_text(page)
+    assert cut <= 5 and alone > 100
+
+
+def free_page(rnd):
+    """A page without roles: short, linked and headed paragraphs in the text, sentences among the links."""
+    vocabulary = "the of a and in it was with on time house river people story night water summer garden".split()
+    say = lambda n: " ".join(rnd.choice(vocabulary) for _ in range(n))
+    parts, body = [], ""
+    for _ in range(rnd.randrange(6, 20)):
+        long, u = rnd.random() < 0.7, rnd.random()
+        t = say(rnd.randrange(15, 60)) + "." if long else say(rnd.randrange(1, 4))
+        parts.append(t)
+        body += f"<p>{t}</p>" if long or u < 0.4 else f"<p><a href=x>{t}</a></p>" if u < 0.6 else f"<h2>{t}</h2>"
+    links = lambda: "<div><ul>" + "".join(f"<li><a href=x>{say(rnd.randrange(1, 4))}</a></li>" for _ in range(rnd.randrange(3, 9))) + (f"<li>{say(12)}.</li>" if rnd.random() < 0.5 else "") + "</ul></div>"
+    return f"<body><div>{links()}</div><div>{body}</div><div>{links()}<div>© {say(3)}</div></div></body>", set(parts)
+
+
+def test_cut_beats_threshold(page_costs):
+    rnd = random.Random(3)
+    alone = cut = 0
+    for _ in range(100):
+        page, want = free_page(rnd)
+        blocks = E.parse_blocks(page)
+        alone += sum((z > 0) != (b.text in want) for z, b in zip(E.block_logits(blocks, page_costs[1]), blocks, strict=True))
+        cut += sum(c != (b.text in want) for c, b in zip(E.label_blocks(blocks, page_costs[1]), blocks, strict=True))
+    assert cut < 0.85 * alone
+
+
+def test_long_pages_take_linear_time(page_costs):
+    import time
+
+    page = "".join(f"<div><p>Long words here are many and say something {k}.</p></div><ul><li><a href=x>Go {k}</a></li></ul>" for k in range(5000))
+    blocks = E.parse_blocks(page)
+    at = time.perf_counter()
+    assert len(E.label_blocks(blocks, page_costs[1])) == 10_000
+    assert time.perf_counter() - at < 3  # under 1 s on an idle machine
+
+
+def test_training_reads_whole_pages(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(E, "fit_costs", lambda x, label, gap, same: seen.update(label=sorted(label), gap=sorted(gap)))
+    E.train_costs(spark.createDataFrame([("<article><p>" + "word " * 50_000 + "</p></article><footer>end</footer>",), ("<p>a</p>",), (None,)], "html string"))
+    assert seen == {"label": [0, 1], "gap": [-1, 2]}
 
 
-def test_training_pages_are_whole(spark, monkeypatch):
-    seen = []
-    monkeypatch.setattr(E, "fit_classifier", seen.extend)
-    pages = ["<article><p>" + "word " * 50_000 + "</p></article><footer>end</footer>", "<p>a</p>"]
-    E.train_weights(spark.createDataFrame([(p,) for p in pages], "html string"))
-    assert sorted(seen) == sorted(pages)
-
 def test_samples_are_of_distinct_texts(spark):
     from chronorel.llm.common import distinct_sample
 
@@ -321,6 +407,25 @@ def test_trees_add_hidden_forms(spark, docs_of):
         assert found[n] == (f"{kind}:8:{len(t) - 7}" if kind else ""), t
 
 
+def test_rare_kinds_keep_their_trees(spark, docs_of):
+    """A corpus without any personal data: what training makes up still tells hidden forms from decoys."""
+    models = I.train_trees(docs_of([(n, f"plain text number {n} of 2024-01-{n % 28 + 1:02d}") for n in range(50)]))
+    assert all(m.threshold < math.inf for m in models.values())
+    planted = [("email", "ann.b (at) post (dot) net"), ("ip", "192[.]168[.]7[.]20"), ("card", "5105.1051.0510.5100"), ("phone", "(253) 555-1234")]
+    rows = [(n, f"now {m} there") for n, (_, m) in enumerate(planted)] + [(9, "on 2024-01-15 at 3 @ 4"), (10, "555-7672 170.106.47.218")]
+    spans = {r["doc_id"]: r["spans"] for r in I.span_report(I.find_personal_data(docs_of(rows), models)).collect()}
+    assert spans == {**{n: f"{k}:4:{4 + len(m)}" for n, (k, m) in enumerate(planted)}, 9: "", 10: "ip:9:23"}
+
+
+def test_many_spans_in_one_text(docs_of):
+    text = " ".join(f"10.{i % 256}.7.{i % 99} a{i} (at) b{i}.de x@y{i}.com" for i in range(3_000))
+    found = I.find_personal_data(docs_of([(1, text)]), I.train_trees(docs_of([(1, text[:2000])])))
+    row = found.first()
+    assert hashlib.sha256(",".join(brute_pii(text)).encode()).hexdigest() == I.span_report(found).first()["base_sha256"]
+    spans = [(x["s"], x["e"], x["m"]) for k in I.KINDS for part in (k, f"{k}_added") for x in row[part]]
+    assert len(row["email_added"]) == 3_000 and all(text[a:b] == m for a, b, m in spans)
+
+
 # pipeline
 
 
