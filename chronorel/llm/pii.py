@@ -22,6 +22,7 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +31,9 @@ from .common import distinct_sample, materialise, text_or_empty
 KINDS = ("email", "ip", "card", "phone")
 #: Bounds of the training sample: texts, candidates of a kind, and verified spans of a kind that are rewritten.
 TRAIN_TEXTS, TRAIN_SPANS, TRAIN_SOURCES = 1_500, 4_000, 400
-ROUNDS, DEPTH, RATE, PRECISION = 24, 3, 0.3, 0.98
+#: Made-up spans of each kind that training always has, whatever the corpus holds.
+SEEDS = 40
+ROUNDS, DEPTH, RATE, PRECISION, CUTS = 24, 3, 0.3, 0.98, 16
 
 _LOCAL = "A-Za-z0-9._%+-"
 #: Possessive forms of the contract's patterns: same matches, no backtracking and no recursion on long runs.
@@ -65,18 +68,13 @@ def _luhn(digits: str) -> str:
     return f"(length({digits}) > 0 and aggregate(sequence(1, greatest(length({digits}), 1)), 0, (a, i) -> a + if(i % 2 = 0, 2 * {d} - if({d} > 4, 9, 0), {d})) % 10 = 0)"
 
 
-def _found(text: str, pattern: str) -> Column:
-    """array<struct<s, e, m>> of all matches; code points, end exclusive."""
-    pieces, matches = F.split(F.col(text), pattern, -1), F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
-    steps = F.zip_with(pieces, matches, lambda x, y: F.struct(F.length(x).alias("x"), F.length(y).alias("y"), y.alias("m")))
-    empty = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<s:int,e:int,m:string>>").alias("out"))
+_SPANS = "array<struct<s:int,e:int,m:string,pre:string,post:string>>"
+_POWERS = "array(" + ", ".join(str(1 << k) for k in range(28)) + ")"
 
-    def step(acc: Column, z: Column) -> Column:
-        s = acc["pos"] + z["x"]
-        e = s + z["y"]
-        return F.when(z["y"].isNull(), acc).otherwise(F.struct(e.alias("pos"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), z["m"].alias("m")))).alias("out")))
 
-    return F.aggregate(steps, empty, step, lambda acc: acc["out"])
+def _running(a: str, n: str, pad: int, op: str) -> str:
+    """Running ``op`` of x and y (sum, max, min) over an array of n ints; passes grow with the logarithm of n."""
+    return f"aggregate(filter({_POWERS}, d -> d < {n}), {a}, (acc, d) -> zip_with(acc, concat(array_repeat({pad}, d), slice(acc, 1, size(acc) - d)), (x, y) -> {op}))"
 
 
 def _held(df: DataFrame, *values: Column) -> DataFrame:
@@ -84,24 +82,51 @@ def _held(df: DataFrame, *values: Column) -> DataFrame:
     return df.select(F.explode(F.array(F.struct(*values))).alias("_r")).select("_r.*")
 
 
+def _scan(df: DataFrame, patterns: dict[str, str], needs: str) -> DataFrame:
+    """Adds a column ``_<kind>`` with all matches of a kind's pattern, as array<struct<s, e, m, pre, post>>.
+
+    Positions are code points, end exclusive; pre and post are what stands
+    around, back to the start of the match before at most.  Texts without
+    ``needs`` are not scanned.  Work grows as n log n with the matches.
+    """
+    keep, some, text = [F.col(c) for c in df.columns], F.col("_text").rlike(needs), F.col("_text")
+
+    def part(piece: Column, match: Column) -> Column:
+        return F.struct(F.length(piece).alias("x"), match.alias("m"), F.right(piece, F.lit(24)).alias("r"), F.left(piece, F.lit(8)).alias("l"))
+
+    none = F.array().cast("array<struct<x:int,m:string,r:string,l:string>>")
+    parts = _held(df, *keep, *[F.when(some, F.zip_with(F.split(text, p, -1), F.regexp_extract_all(text, F.lit(p), F.lit(0)), part)).otherwise(none).alias(f"_z_{k}") for k, p in patterns.items()])
+    held = [F.col(f"_z_{k}") for k in patterns]
+    step = "transform(_z_@, (z, i) -> z.x + if(i = 0, 0, length(_z_@[i - 1].m)))"
+    starts = _held(parts, *keep, *held, *[F.expr(f"if(size(_z_{k}) <= 1, array(), {_running(step.replace('@', k), f'size(_z_{k})', 0, 'x + y')})").cast("array<int>").alias(f"_s_{k}") for k in patterns])
+    span = "transform(slice(_z_@, 1, greatest(size(_z_@) - 1, 0)), (z, i) -> struct(_s_@[i] as s, _s_@[i] + length(z.m) as e, z.m as m, right(concat(if(i = 0, '', _z_@[i - 1].m), z.r), 24) as pre, _z_@[i + 1].l as post))"
+    return _held(starts, *keep, *[F.expr(span.replace("@", k)).cast(_SPANS).alias(f"_{k}") for k in patterns])
+
+
 def _base(df: DataFrame) -> DataFrame:
-    """Adds a column per kind with its base spans; texts without a digit or @ are not scanned."""
-    none = F.array().cast("array<struct<s:int,e:int,m:string>>")
-    some = F.col("_text").rlike("[0-9@]")
-    raw = _held(df, *[F.col(c) for c in df.columns], *[F.when(some, _found("_text", p)).otherwise(none).alias(f"_{k}") for k, p in BASE.items()])
+    """Adds a column per kind with its base spans."""
+    raw = _scan(df, BASE, "[0-9@]")
     return raw.select(*df.columns, *[F.expr(f"filter(_{k}, x -> {_is(k, 'x.m')})").alias(k) for k in KINDS])
 
 
 def _candidates(df: DataFrame) -> DataFrame:
-    """Adds ``cands``: array<struct<kind, s, e, m, pre, post, hit>>; hit: a base span of the kind overlaps it."""
-    none = F.array().cast("array<struct<s:int,e:int,m:string>>")
-    some = F.col("_text").rlike("[0-9@]|[(\\[]at[)\\]]")
-    raw = _held(df, *[F.col(c) for c in df.columns], *[F.when(some, _found("_text", p)).otherwise(none).alias(f"_{k}") for k, p in GENERATORS.items()])
-    parts = [
-        f"transform(_{k}, x -> struct('{k}' as kind, x.s as s, x.e as e, x.m as m, substr(_text, greatest(x.s - 24, 0) + 1, least(24, x.s)) as pre, substr(_text, x.e + 1, 1) as post, exists({k}, b -> b.s < x.e and x.s < b.e) as hit))"
-        for k in KINDS
-    ]
-    return _held(raw, *[F.col(c) for c in df.columns], F.expr(f"concat({', '.join(parts)})").alias("cands"))
+    """Adds ``cands``: array<struct<kind, s, e, m, pre, post>> of candidates that no base span of their kind overlaps.
+
+    Base spans and candidates are sorted together; a candidate is overlapped if
+    the farthest end of base spans before it, or the next base start, lies within it.
+    """
+    raw = _scan(df, GENERATORS, r"[0-9@]|[(\[]at[)\]]")
+    keep, found = [F.col(c) for c in df.columns], [F.col(f"_{k}") for k in KINDS]
+    both = "if(size(@) = 0 or size(_@) = 0, array(), array_sort(concat(transform(@, b -> struct(b.s as s, 0 as t, b.e as e, -1 as i)), transform(_@, (c, i) -> struct(c.s as s, 1 as t, c.e as e, i as i)))))"
+    merged = _held(raw, *keep, *found, *[F.expr(both.replace("@", k)).cast("array<struct<s:int,t:int,e:int,i:int>>").alias(f"_z_{k}") for k in KINDS])
+    ends, nexts = "transform(_z_@, z -> if(z.t = 0, z.e, -1))", "reverse(transform(_z_@, z -> if(z.t = 0, z.s, 2147483647)))"
+    z = [F.col(f"_z_{k}") for k in KINDS]
+    near = _held(merged, *keep, *found, *z, *[F.expr(x.replace("@", k)).alias(f"_{n}_{k}") for n, x in (("e", ends), ("n", nexts)) for k in KINDS])
+    runs = [F.expr(_running(f"_e_{k}", f"size(_e_{k})", -1, "greatest(x, y)")).alias(f"_e_{k}") for k in KINDS] + [F.expr(f"reverse({_running(f'_n_{k}', f'size(_n_{k})', 2147483647, 'least(x, y)')})").alias(f"_n_{k}") for k in KINDS]
+    ran = _held(near, *keep, *found, *z, *runs)
+    free = "if(size(_z_@) = 0, _@, transform(filter(transform(_z_@, (z, j) -> struct(z.i as i, z.t = 1 and _e_@[j] <= z.s and _n_@[j] >= z.e as ok)), z -> z.ok), z -> _@[z.i]))"
+    parts = [f"transform({free.replace('@', k)}, x -> struct('{k}' as kind, x.s as s, x.e as e, x.m as m, x.pre as pre, x.post as post))" for k in KINDS]
+    return _held(ran, *keep, F.expr(f"concat({', '.join(parts)})").alias("cands"))
 
 
 def _features(c: str) -> str:
@@ -121,7 +146,7 @@ def _features(c: str) -> str:
         "at_sign": count("[@]"),
         "named": f"cast({c}.m rlike '[A-Za-z]' as int)",
         "before_word": f"cast({c}.pre rlike '[0-9A-Za-z@._-]$' as int)",
-        "after_word": f"cast({c}.post rlike '[0-9A-Za-z@_-]' as int)",
+        "after_word": f"cast({c}.post rlike '^[0-9A-Za-z@_-]' as int)",
         "cue_contact": f"cast(lower({c}.pre) rlike '(phone|tel|fon|call|mobile|cell|fax|mail|contact|card|visa|ip|host|addr)' as int)",
         "cue_secret": f"cast(lower({c}.pre) rlike '(token|key|sha|hash|version|isbn|id|=|\")' as int)",
     }
@@ -144,10 +169,10 @@ def _rewritten(kind: str) -> list[tuple[int, str, str]]:
         return [(1, "x.pre", hidden), (0, "x.pre", "replace(x.m, '.', ',')"), (0, "x.pre", f"concat(regexp_replace({hidden}, '[0-9]+$', ''), 256 + pmod(xxhash64(x.m), 700))")]
     if kind == "card":
         real = [by(digits, 4, "."), by(digits, 4, "/"), valid(15), by(valid(13), 4, "-"), by(valid(14), 4, ".")]
-        return [*[(1, "x.pre", m) for m in real], *[(0, "x.pre", broken(m)) for m in real], (0, "concat(x.pre, ' item id=')", valid(15))]
+        return [*[(1, "x.pre", m) for m in real], *[(0, "x.pre", broken(m)) for m in real], (0, "concat(x.pre, ' item id=')", valid(15)), (0, "x.pre", f"regexp_replace({valid(16)}, '^(.{{3}})(.{{4}})(.{{3}})(.{{3}})(.{{2}})(.*)$', '$1-$2 $3.$4.$5.$6')")]
     real = ["regexp_replace(x.m, '^[+]', '')", "regexp_replace(x.m, '^[+][0-9]{1,3}[ .-]+', '')"]
     day = "date_format(date_add(date'2000-01-01', cast(pmod(xxhash64(x.m), 9000) as int)), 'yyyy-MM-dd')"
-    return [*[(1, "x.pre", m) for m in real], (0, "x.pre", day), (0, "concat(x.pre, ' item id=')", digits), (0, "concat(x.pre, ' version ')", by(digits, 2, "."))]
+    return [*[(1, "x.pre", m) for m in real], (0, "x.pre", day), (0, "concat(x.pre, ' item id=')", digits), (0, "concat(x.pre, ' version ')", by(digits, 2, ".")), (0, "x.pre", f"concat('555-', right({digits}, 4), ' ', 100 + pmod(xxhash64(x.m), 120), '.', substr({digits}, 2, 2), '.', substr({digits}, 3, 2))")]
 
 
 #: Text before a candidate that makes it an id.
@@ -179,81 +204,116 @@ class Trees:
 
         return " + ".join([f"{self.start!r}D", *(f"({node(t)})" for t in self.trees)])
 
-    def score(self, row: list[float]) -> float:
-        total = self.start
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        def node(t, at: np.ndarray) -> None:
+            if isinstance(t, tuple):
+                low = x[at, t[0]] <= t[1]
+                node(t[2], at[low])
+                node(t[3], at[~low])
+            else:
+                total[at] += t
+
+        total = np.full(len(x), self.start)
         for t in self.trees:
-            while isinstance(t, tuple):
-                t = t[2] if row[t[0]] <= t[1] else t[3]
-            total += t
+            node(t, np.arange(len(x)))
         return total
 
 
-def _tree(rows: list[list[float]], g: list[float], h: list[float], at: list[int], depth: int):
-    """Second-order regression tree over few distinct cut points; leaves are shrunken Newton steps."""
-    gs, hs = sum(g[i] for i in at), sum(h[i] for i in at)
-    leaf = RATE * gs / (hs + 1.0)
+def _binned(x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Codes of a feature matrix and the cut points behind them: at most CUTS values a feature, evenly taken."""
+    codes, cuts = np.zeros(x.shape, np.int64), []
+    for f in range(x.shape[1]):
+        values = np.unique(x[:, f])[:-1]
+        cuts.append(values[:: -(-len(values) // CUTS)] if len(values) else values)
+        codes[:, f] = np.searchsorted(cuts[-1], x[:, f], side="left")
+    return codes, cuts
+
+
+def _tree(codes: np.ndarray, cuts: list[np.ndarray], g: np.ndarray, h: np.ndarray, at: np.ndarray, depth: int):
+    """Second-order regression tree over histograms of codes; leaves are shrunken Newton steps."""
+    gs, hs = g[at].sum(), h[at].sum()
+    leaf = float(RATE * gs / (hs + 1.0))
     if depth == 0 or len(at) < 8:
         return leaf
     best = (1e-3, None)
-    for f in range(len(FEATURES)):
-        cuts = sorted({rows[i][f] for i in at})
-        for c in cuts[:-1][:: max(1, len(cuts) // 12)]:
-            gl = hl = 0.0
-            for i in at:
-                if rows[i][f] <= c:
-                    gl += g[i]
-                    hl += h[i]
+    for f, c in enumerate(cuts):
+        if len(c):
+            gl = np.cumsum(np.bincount(codes[at, f], g[at], len(c) + 1))[:-1]
+            hl = np.cumsum(np.bincount(codes[at, f], h[at], len(c) + 1))[:-1]
             gain = gl * gl / (hl + 1) + (gs - gl) ** 2 / (hs - hl + 1) - gs * gs / (hs + 1)
-            if gain > best[0]:
-                best = (gain, (f, c))
+            k = int(np.argmax(gain))
+            if gain[k] > best[0] + 1e-9:
+                best = (float(gain[k]), (f, k))
     if best[1] is None:
         return leaf
-    f, c = best[1]
-    return (f, c, _tree(rows, g, h, [i for i in at if rows[i][f] <= c], depth - 1), _tree(rows, g, h, [i for i in at if rows[i][f] > c], depth - 1))
+    f, k = best[1]
+    low = codes[at, f] <= k
+    return (f, float(cuts[f][k]), _tree(codes, cuts, g, h, at[low], depth - 1), _tree(codes, cuts, g, h, at[~low], depth - 1))
+
+
+def _boosted(x: np.ndarray, y: np.ndarray, codes: np.ndarray, cuts: list[np.ndarray], at: np.ndarray) -> Trees:
+    """Logistic gradient boosting on the rows ``at``."""
+    share = min(max(y[at].mean(), 0.5 / len(at)), 1 - 0.5 / len(at))
+    model = Trees(float(np.log(share / (1 - share))), [], math.inf)
+    total = np.full(len(y), model.start)
+    for _ in range(ROUNDS):
+        p = 1 / (1 + np.exp(-np.clip(total, -30, 30)))
+        tree = _tree(codes, cuts, y - p, np.maximum(p * (1 - p), 1e-6), at, DEPTH)
+        model.trees.append(tree)
+        total += Trees(0.0, [tree], 0.0).scores(x)
+    return model
 
 
 def fit_trees(rows: list[list[float]], labels: list[int]) -> Trees:
-    """Logistic gradient boosting on three quarters; the threshold comes from the rest.
+    """Boosted trees on all rows, with a threshold from four-fold cross-validation.
 
-    The threshold is the lowest score at which calibration precision is at
-    least PRECISION; with one class only, or no such score, nothing is added.
+    Each fold is scored by trees of the other three; the threshold is the lowest
+    pooled score of at least even odds from which on precision is PRECISION.
+    Rows of one class only give no trees and add nothing.
     """
-    fit_at, cal_at = [i for i in range(len(rows)) if i % 4], [i for i in range(len(rows)) if i % 4 == 0]
-    pos = sum(labels[i] for i in fit_at)
-    if not pos or pos == len(fit_at):
+    x, y = np.array(rows, float).reshape(len(rows), len(FEATURES)), np.array(labels, float)
+    if len(set(labels)) < 2:
         return Trees(0.0, [], math.inf)
-    model = Trees(math.log(pos / (len(fit_at) - pos)), [], math.inf)
-    total = [model.start] * len(rows)
-    for _ in range(ROUNDS):
-        p = [1 / (1 + math.exp(-max(-30.0, min(30.0, x)))) for x in total]
-        tree = _tree(rows, [y - q for y, q in zip(labels, p, strict=True)], [max(q * (1 - q), 1e-6) for q in p], fit_at, DEPTH)
-        model.trees.append(tree)
-        for i, r in enumerate(rows):
-            total[i] += Trees(0.0, [tree], 0.0).score(r)
-    right = n = 0
-    for i in sorted(cal_at, key=lambda i: -total[i]):
-        n, right = n + 1, right + labels[i]
-        if n >= 20 and right / n >= PRECISION:
-            model.threshold = min(model.threshold, max(total[i], 0.0))
+    codes, cuts = _binned(x)
+    fold, pooled = np.arange(len(y)) % 4, np.zeros(len(y))
+    for k in range(4):
+        pooled[fold == k] = _boosted(x, y, codes, cuts, np.flatnonzero(fold != k)).scores(x[fold == k])
+    model = _boosted(x, y, codes, cuts, np.arange(len(y)))
+    for score in np.unique(pooled[pooled >= 0]):
+        if y[pooled >= score].mean() >= PRECISION:
+            model.threshold = float(score)
+            break
     return model
 
 
+def _seeds(kind: str) -> str:
+    """The n-th span of a kind that training always has, so that a kind which a corpus lacks keeps its trees."""
+    number = "lpad(cast(pmod(xxhash64(id), 100000000000000) as string), 14, '0')"
+    return {
+        "email": "concat('user.', id, '@host', pmod(xxhash64(id), 97), '.example.org')",
+        "ip": "concat_ws('.', pmod(xxhash64(id), 223) + 1, pmod(xxhash64(id, 1), 256), pmod(xxhash64(id, 2), 256), id)",
+        "card": f"element_at(filter(transform(sequence(0, 9), z -> concat(4 + pmod(id, 2), {number}, z)), y -> {_luhn('y')}), 1)",
+        "phone": "concat('+', pmod(id, 90) + 1, if(id % 2 = 0, ' (', ' '), 200 + pmod(xxhash64(id), 700), if(id % 2 = 0, ') 555-', '-555-'), 1000 + pmod(xxhash64(id, 1), 9000))",
+    }[kind]
+
+
 def _training_rows(sample: DataFrame) -> DataFrame:
     """(kind, label, made, f, o) of labelled candidates without base span; made: from a verified span; o orders them."""
     based = _base(sample)
-    spans = [f"transform({k}, x -> struct('{k}' as kind, x.m as m, substr(_text, greatest(x.s - 24, 0) + 1, least(24, x.s)) as pre, substr(_text, x.e + 1, 8) as post))" for k in KINDS]
+    spans = [f"transform({k}, x -> struct('{k}' as kind, x.m as m, x.pre as pre, x.post as post))" for k in KINDS]
     spans = materialise(based.select(F.explode(F.expr(f"concat({', '.join(spans)})")).alias("x")).filter("length(x.m) <= 100").distinct(), "pii-verified")
     made = None
     for kind in KINDS:
-        some = spans.filter(F.col("x.kind") == kind).orderBy(F.xxhash64("x.m", "x.pre"), "x").limit(TRAIN_SOURCES)
         forms = ", ".join(f"struct({label} as label, {pre} as pre, {m} as m)" for label, pre, m in _rewritten(kind))
-        rows = some.select("x", F.explode(F.expr(f"array({forms})")).alias("w")).filter("w.m is not null")
+        some = spans.filter(F.col("x.kind") == kind).orderBy(F.xxhash64("x.m", "x.pre"), "x").limit(TRAIN_SOURCES)
+        seeds = sample.sparkSession.range(SEEDS).select(F.expr(f"struct('{kind}' as kind, {_seeds(kind)} as m, ' text with a ' as pre, ' in it ' as post)").alias("x"))
+        rows = some.unionByName(seeds).select("x", F.explode(F.expr(f"array({forms})")).alias("w")).filter("w.m is not null")
         rows = rows.select(F.col("x.kind").alias("_kind"), F.col("w.label").alias("_label"), F.length("w.pre").alias("_s"), F.length(F.concat("w.pre", "w.m")).alias("_e"), F.concat("w.pre", "w.m", "x.post").alias("_text"))
         made = rows if made is None else made.unionByName(rows)
     made = materialise(made, "pii-rewritten")
-    made = _candidates(_base(made)).select("_kind", "_label", "_s", "_e", F.explode("cands").alias("c")).filter("not c.hit and c.kind = _kind and c.s = _s and c.e = _e")
+    made = _candidates(_base(made)).select("_kind", "_label", "_s", "_e", F.explode("cands").alias("c")).filter("c.kind = _kind and c.s = _s and c.e = _e")
     made = made.select("c.kind", F.col("_label").alias("label"), F.lit(True).alias("made"), F.expr(_features("c")).alias("f"), F.expr("xxhash64(c.m, c.pre)").alias("o"))
-    found = _candidates(based).select(F.explode("cands").alias("c")).filter("not c.hit").select("c", F.expr(_features("c")).alias("f"))
+    found = _candidates(based).select(F.explode("cands").alias("c")).select("c", F.expr(_features("c")).alias("f"))
     other = " ".join(f"when c.kind = '{k}' then {_other(k, 'c', 'f')}" for k in KINDS)
     found = found.filter(F.expr(f"case {other} end")).select("c.kind", F.lit(0).alias("label"), F.lit(False).alias("made"), "f", F.expr("xxhash64(c.m, c.pre)").alias("o"))
     return made.unionByName(found)
@@ -271,7 +331,7 @@ def train_trees(docs: DataFrame, text_col: str = "text") -> dict[str, Trees]:
     out = {}
     for kind in KINDS:
         rows = cands.filter(F.col("kind") == kind).orderBy(F.desc("made"), "o").limit(TRAIN_SPANS).select("label", "f", "o").collect()
-        rows.sort(key=lambda r: (r["o"], r["label"], r["f"]))
+        rows.sort(key=lambda r: (r["o"], r["label"], r["f"]))  # neither folds nor sums depend on how rows arrive
         out[kind] = fit_trees([[float(x) for x in r["f"]] for r in rows], [r["label"] for r in rows])
     return out
 
@@ -280,7 +340,8 @@ def find_personal_data(docs: DataFrame, models: dict[str, Trees] | None = None,
     """Per input row: doc_id, the text, a column of base spans and one of added spans per kind.
 
     Null text counts as empty and has no spans; so has an empty table no rows.
-    Spans are array<struct<s, e, m>>, sorted by start.
+    Null and repeated ids are rows like any others; further columns are
+    ignored.  Spans are array<struct<s, e, m>>, sorted by start.
     """
     models = train_trees(docs, text_col) if models is None else models
     base = _base(docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("_text")))
@@ -290,11 +351,12 @@ def find_personal_data(docs: DataFrame, models: dict[str, Trees] | None = None,
     if open_kinds:
         cands = _candidates(base)
         keep = [F.col("doc_id"), F.col("_text"), *[F.col(k) for k in KINDS]]
-        judged = _held(cands, *keep, F.expr(f"transform(filter(cands, c -> not c.hit), c -> struct(c.kind as kind, c.s as s, c.e as e, c.m as m, {_features('c')} as f))").alias("feats"))
+        judged = _held(cands, *keep, F.expr(f"transform(cands, c -> struct(c.kind as kind, c.s as s, c.e as e, c.m as m, {_features('c')} as f))").alias("feats"))
         rule = " ".join(f"when x.kind = '{k}' then {models[k].sql('x.f')} >= {models[k].threshold!r}D" for k in open_kinds)
         df = _held(judged, *keep, F.expr(f"filter(feats, x -> case {rule} else false end)").alias("feats"))
         added = "transform(filter(feats, x -> x.kind = '@'), x -> struct(x.s as s, x.e as e, x.m as m))"
-    return df.select("doc_id", F.col("_text").alias("text"), *KINDS, *[F.expr(added.replace("@", k)).cast("array<struct<s:int,e:int,m:string>>").alias(f"{k}_added") for k in KINDS])
+    plain = [F.expr(f"transform({k}, x -> struct(x.s as s, x.e as e, x.m as m))").alias(k) for k in KINDS]
+    return df.select("doc_id", F.col("_text").alias("text"), *plain, *[F.expr(added.replace("@", k)).cast("array<struct<s:int,e:int,m:string>>").alias(f"{k}_added") for k in KINDS])
 
 
 def redact(found: DataFrame) -> DataFrame:
