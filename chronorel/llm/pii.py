@@ -162,7 +162,7 @@ def _rewritten(kind: str) -> list[tuple[int, str, str]]:
     broken = lambda m: f"concat(left({m}, length({m}) - 1), pmod(cast(right({m}, 1) as int) + 1, 10))"
     by = lambda m, n, mark: f"regexp_replace({m}, '(.{{{n}}})(?=.)', '$1{mark}')"
     if kind == "email":
-        real = [late("replace(x.m, '@', ' (at) ')", " (dot) "), late("replace(x.m, '@', ' [at] ')", " [dot] "), "replace(x.m, '@', ' @ ')"]
+        real = [late("replace(x.m, '@', ' (at) ')", " (dot) "), late("replace(x.m, '@', ' [at] ')", " [dot] "), "replace(x.m, '@', ' @ ')", "replace(x.m, '@', ' (at) ')"]
         return [*[(1, "x.pre", m) for m in real], (0, "x.pre", f"concat({local}, ' @ ', substring_index({host}, '.', 1), '. ', initcap(substring_index({host}, '.', -1)))"), (0, "x.pre", f"concat({local}, ' @ ', length(x.m), '.', 10 + length(x.pre))")]
     if kind == "ip":
         hidden = "replace(x.m, '.', '[.]')"
