@@ -50,7 +50,7 @@ GENERATORS = {
     "card": r"(?<![0-9])[0-9](?:[\x20./-]{0,2}[0-9]){12,18}+(?![0-9])",
     "phone": r"(?<![0-9A-Za-z])[(]?[0-9](?:[\x20()./-]{0,2}+[0-9]){6,14}+(?![0-9A-Za-z])",
 }
-FEATURES = ("chars", "digits", "groups", "dots", "dashes", "spaces", "parens", "small_parts", "luhn", "at_sign", "named", "before_word", "after_word", "cue_contact", "cue_secret")
+FEATURES = ("chars", "digits", "groups", "dots", "dashes", "spaces", "parens", "small_parts", "luhn", "at_sign", "named", "word_tail", "sentence", "before_word", "after_word", "cue_contact", "cue_secret")
 
 
 def _is(kind: str, m: str) -> str:
@@ -145,6 +145,8 @@ def _features(c: str) -> str:
         "luhn": f"cast({_luhn(digits)} as int)",
         "at_sign": count("[@]"),
         "named": f"cast({c}.m rlike '[A-Za-z]' as int)",
+        "word_tail": f"cast({c}.m rlike '[A-Za-z]{{2,}}$' as int)",
+        "sentence": f"cast({c}.m rlike '[.][ ][A-Z]' as int)",
         "before_word": f"cast({c}.pre rlike '[0-9A-Za-z@._-]$' as int)",
         "after_word": f"cast({c}.post rlike '^[0-9A-Za-z@_-]' as int)",
         "cue_contact": f"cast(lower({c}.pre) rlike '(phone|tel|fon|call|mobile|cell|fax|mail|contact|card|visa|ip|host|addr)' as int)",
