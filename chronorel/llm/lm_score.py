@@ -33,6 +33,7 @@ BLOCK_KEYS, CHUNK_TOKENS, BROADCAST_BYTES = 1_000_000, 1_000_000, 192 << 20
 BASE_LOG, HASHES, BITS_PER_KEY = 1.5, 6, 10
 INTERPOLATION = 0.25
 _END, _MUL = np.uint64(0x656E64), np.uint64(0x9E3779B97F4A7C15)
+_HALF, _THREE, _SEVEN = np.uint64(32), np.uint64(3), np.uint64(7)
 
 
 def _keys(text: str | None, memo: WordHashes) -> tuple[np.ndarray, np.ndarray]:
@@ -79,11 +80,15 @@ def _counter(bits: int):
     return count
 
 
-def _probe_bits(keys: np.ndarray, level: np.ndarray | int, size: int) -> np.ndarray:
-    """Bit positions (hashes, keys) of (key, level) in a filter of ``size`` bits, by double hashing."""
-    h = mix(keys + np.asarray(level, np.uint64) * np.uint64(0xD1B54A32D192ED03))
-    g = mix(h * _MUL) | np.uint64(1)
-    return (h[None, :] + np.arange(HASHES, dtype=np.uint64)[:, None] * g[None, :]) % np.uint64(size)
+def _hashed(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and stride of the probes of (key, level)."""
+    h = mix(keys + np.asarray([level], np.uint64) * np.uint64(0xD1B54A32D192ED03))
+    return h, mix(h * _MUL) | np.uint64(1)
+
+
+def _bit(h: np.ndarray, g: np.ndarray, i: int, size: np.ndarray | np.uint64) -> np.ndarray:
+    """Position of the i-th probe in a filter of ``size`` bits (below 2 ** 32)."""
+    return (((h + np.uint64(i) * g) >> _HALF) * size) >> _HALF
 
 
 def build_filter(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -92,19 +97,32 @@ def build_filter(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     size = max(64, -(-int(level.sum()) * BITS_PER_KEY // 64) * 64)
     bits = np.zeros(size, np.uint8)
     for q in range(1, int(level.max(initial=0)) + 1):
-        bits[_probe_bits(keys[level >= q], q, size).ravel()] = 1
+        h, g = _hashed(keys[level >= q], q)
+        for i in range(HASHES):
+            bits[_bit(h, g, i, np.uint64(size))] = 1
     return np.packbits(bits, bitorder="little")
 
 
-def probe_filter(filt: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Mean count of the highest level whose probes, and all below, succeed; 0 where level 1 fails."""
-    out, alive, q = np.zeros(len(keys)), np.arange(len(keys)), 1
-    size = len(filt) * 8
-    while len(alive) and size:
-        at = _probe_bits(keys[alive], q, size)
-        hit = ((filt[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=0)
-        alive = alive[hit]
-        out[alive] = 1.0 if q == 1 else (BASE_LOG ** (q - 1) + BASE_LOG**q - 1) / 2
+def level_count(q: int) -> float:
+    """Mean count of a level."""
+    return 1.0 if q == 1 else (BASE_LOG ** (q - 1) + BASE_LOG**q - 1) / 2
+
+
+def probe_filter(filt: np.ndarray, keys: np.ndarray, size: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Mean count of the highest level whose probes, and all below, succeed; 0 where level 1 fails.
+
+    Each key has a filter of its own ``size`` bits from bit ``start`` of ``filt``.
+    """
+    out, alive, q = np.zeros(len(keys)), np.flatnonzero(size), 1
+    while len(alive):
+        h, g = _hashed(keys[alive], q)
+        n, at = size[alive], start[alive]
+        for i in range(HASHES):
+            bit = at + _bit(h, g, i, n)
+            hit = np.flatnonzero((filt[bit >> _THREE] >> (bit & _SEVEN).astype(np.uint8)) & np.uint8(1))
+            if len(hit) < len(alive):  # most absent keys fail at once
+                alive, h, g, n, at = alive[hit], h[hit], g[hit], n[hit], at[hit]
+        out[alive] = level_count(q)
         q += 1
     return out
 
@@ -126,29 +144,31 @@ def _block(key: tuple, group: pa.Table) -> pa.Table:
     return pa.table({"kind": pa.array([kind], pa.int32()), "block": pa.array([block], pa.int32()), "data": pa.array([data], pa.binary()), "more": pa.array([more], pa.binary()), "total": [total], "types": [types], "once": [once]})
 
 
-class Blocks:
-    """Answers keys from blocks of tables: word counts exactly, pair counts through the filter."""
+class Tables:
+    """Answers keys from blocks of tables laid end to end: word counts exactly, pair counts through the filters."""
 
-    def __init__(self, rows: list[tuple], bits: int) -> None:
-        self.bits, self.words, self.pairs = bits, {}, {}
-        for kind, block, data, more in rows:
-            if kind:
-                self.pairs[block] = np.frombuffer(data, np.uint8)
-            else:
-                self.words[block] = (np.frombuffer(data, np.uint64), np.frombuffer(more, np.uint32 if 2 * len(more) == len(data) else np.int64))
+    def __init__(self, rows: list[tuple[int, int, bytes, bytes]], bits: int) -> None:
+        self.bits = bits
+        words = sorted((r for r in rows if r[0] == 0), key=lambda r: r[1])
+        pairs = sorted((r for r in rows if r[0] == 1), key=lambda r: r[1])
+        join = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
+        self.known = join([np.frombuffer(r[2], np.uint64) for r in words], np.uint64)  # blocks are ranges of keys: sorted as a whole
+        self.counts = join([np.frombuffer(r[3], np.uint32 if 2 * len(r[3]) == len(r[2]) else np.int64) for r in words], np.uint32)
+        self.filter = join([np.frombuffer(r[2], np.uint8) for r in pairs], np.uint8)
+        self.blocks = np.array([r[1] for r in pairs], np.int64)
+        self.sizes = np.array([8 * len(r[2]) for r in pairs] + [0], np.uint64)  # the last: no such block
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
     def __call__(self, kind: int, keys: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(keys))
+        if not kind:
+            if not len(self.known):
+                return np.zeros(len(keys))
+            place = np.minimum(np.searchsorted(self.known, keys), len(self.known) - 1)
+            return np.where(self.known[place] == keys, self.counts[place], 0).astype(float)
         block = (keys >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
-        for b in np.unique(block):
-            at = np.flatnonzero(block == b)
-            if kind and b in self.pairs:
-                out[at] = probe_filter(self.pairs[b], keys[at])
-            elif not kind and b in self.words:
-                known, counts = self.words[b]
-                place = np.minimum(np.searchsorted(known, keys[at]), len(known) - 1)
-                out[at] = np.where(known[place] == keys[at], counts[place], 0)
-        return out
+        place = np.searchsorted(self.blocks, block)
+        place = np.where(np.append(self.blocks, -1)[place] == block, place, len(self.blocks))
+        return probe_filter(self.filter, keys, self.sizes[place], self.starts[place])
 
 
 def _scored(ids, texts, ask, n: int, v: int, once: int, memo: WordHashes) -> pa.RecordBatch:
@@ -182,10 +202,10 @@ _SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score do
 
 def _by_broadcast(docs: DataFrame, tables: DataFrame, bits: int, stats: tuple[int, int, int]) -> DataFrame:
     rows = [(r["kind"], r["block"], bytes(r["data"]), bytes(r["more"])) for r in tables.select("kind", "block", "data", "more").toLocalIterator()]
-    sent = docs.sparkSession.sparkContext.broadcast(rows)
+    sent = docs.sparkSession.sparkContext.broadcast(Tables(rows, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks, memo = Blocks(sent.value, bits), WordHashes()
+        tables_, memo = sent.value, WordHashes()
         for batch in batches:
             ids, texts, size = [], [], 0
             for i, t in zip(batch.column(0), batch.column(1), strict=True):
@@ -193,10 +213,10 @@ def _by_broadcast(docs: DataFrame, tables: DataFrame, bits: int, stats: tuple[in
                 texts.append(t.as_py())
                 size += len(texts[-1] or "")
                 if size >= 2_000_000:
-                    yield _scored(ids, texts, blocks, *stats, memo)
+                    yield _scored(ids, texts, tables_, *stats, memo)
                     ids, texts, size = [], [], 0
             if ids:
-                yield _scored(ids, texts, blocks, *stats, memo)
+                yield _scored(ids, texts, tables_, *stats, memo)
 
     return docs.mapInArrow(lean(run), _SCORES)
 
@@ -221,8 +241,8 @@ def _by_chunks(docs: DataFrame, tables: DataFrame, bits: int, stats: tuple[int,
 
     def answer(key: tuple, asked: pa.Table, held: pa.Table) -> pa.Table:
         kind = int(key[0].as_py())
-        blocks = Blocks([(kind, int(key[1].as_py()), held.column("data")[i].as_py(), held.column("more")[i].as_py()) for i in range(held.num_rows)], bits)
-        values = [blocks(kind, np.frombuffer(k.as_py(), np.uint64)).astype(np.float64).tobytes() for k in asked.column("keys")]
+        held_block = Tables([(kind, int(key[1].as_py()), held.column("data")[i].as_py(), held.column("more")[i].as_py()) for i in range(held.num_rows)], bits)
+        values = [held_block(kind, np.frombuffer(k.as_py(), np.uint64)).astype(np.float64).tobytes() for k in asked.column("keys")]
         return pa.table({"chunk": asked.column("chunk"), "kind": asked.column("kind"), "keys": asked.column("keys"), "vals": pa.array(values, pa.binary())})
 
     def finish(key: tuple, own: pa.Table, answers: pa.Table) -> pa.Table:
@@ -247,8 +267,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Trained on rows whose crc32(id as text) mod ``folds`` is not 0.  A null or
     empty text is one token, the end.  A null id is held in training.  With no
-    training rows every word is unknown and train_tokens is 0.  An empty table
-    gives no rows.
+    training rows every word is unknown and train_tokens is 0.  Rows that
+    repeat are rows like others.  An empty table gives no rows; further columns
+    are ignored; ids are integers.
     """
     ship_package(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

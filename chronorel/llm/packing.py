@@ -9,9 +9,12 @@ bins, so planning is bounded at any input size:
 3. round them down to what the histogram still holds;
 4. pack the residual counts greedily, longest first, best partner first.
 
-The plan maps ``(length, rank)`` ranges to sequences; ranks are numbered within
-``(length, salt)`` groups, so that a length shared by many rows spreads over
-tasks.
+The plan maps ``(length, rank)`` ranges to sequences.  Ranks are numbered within
+``(length, salt)`` groups; a length has as many salts as its count asks for, so
+that a length shared by most rows (whole windows, in long texts) spreads over
+tasks at any size.  The plan that is broadcast has at most ``COMBINATIONS`` runs
+from the equations, and each greedy run uses up a length or closes a sequence
+that no other length fits, so it does not grow with the rows.
 """
 
 from __future__ import annotations
@@ -28,7 +31,9 @@ from pyspark.sql import functions as F
 from .common import materialise, ship_package
 from .shingles import lean
 
-WINDOW, END_ID, SALTS, COMBINATIONS = 2048, 1, 64, 60_000
+WINDOW, END_ID, COMBINATIONS = 2048, 1, 60_000
+#: Pieces of one length that one task numbers.
+GROUP_PIECES = 250_000
 
 
 class Encoder:
@@ -199,11 +204,12 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
     ship_package(spark)
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", input_ids array<int>" * with_ids
     pieces = materialise(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_t")).mapInArrow(lean(_cutter(tokenizer_path, window, end_id, with_ids)), schema), "pack-pieces")
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)).cast("int"))
-    counts = materialise(salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n")), "pack-counts")  # at most window * SALTS rows
     hist = np.zeros(window + 1, np.int64)
-    for length, n in counts.groupBy("length").agg(F.sum("n")).collect():
+    for length, n in pieces.groupBy("length").agg(F.count(F.lit(1))).collect():  # at most `window` rows
         hist[length] = n
+    salts = F.array(*[F.lit(int(x)) for x in np.maximum(1, -(-hist // GROUP_PIECES))])
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start"), salts[F.col("length").cast("int")]).cast("int"))
+    counts = materialise(salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n")), "pack-counts")  # at most window + rows / GROUP_PIECES rows
     sent = spark.sparkContext.broadcast(_ranges(plan(hist, window)))
     start = counts.withColumn("_first", F.sum("n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("n")).drop("n")
     order = Window.partitionBy("length", "_salt").orderBy("doc_id", "start", "ids_crc32")

@@ -1,18 +1,21 @@
 """Byte-balanced sharding by sampled splitters.
 
-Rows are ordered by ``(text hash, id)``, so equal texts lie together.  A
+Rows are ordered by ``(text digest, id)``, so equal texts lie together.  A
 size-weighted sample (expected size: the ``sample`` parameter) gives quantile
 splitters that cut the order into ``ranges`` ranges; ranges whose exact bytes
-are over twice their share are sampled again and subdivided.  Exact byte and
-row counts of the ranges (bounded by the number of ranges) give every row its
-global offset, and shard edges fall on exact byte quantiles.  A group of equal
-texts that lies across an edge goes to one side if it holds no more than
-``group_tolerance`` of a shard; a larger one is divided by id.
-Only ids, sizes and hashes are moved; no text is.
+are over twice their share are sampled again, all in one pass, and subdivided
+until none is left that can be.  Exact byte and row counts of the ranges
+(bounded by the number of ranges) give every row its global offset, and shard
+edges fall on exact byte quantiles.  Balance comes first: a group of equal texts
+that lies across an edge goes to the nearer side as long as that moves the edge
+by no more than ``group_tolerance`` of a shard, at any size of the table;
+otherwise the edge falls inside the group, by id.
+Only ids, sizes and digests are moved; no text is.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import accumulate
 
 from pyspark.sql import DataFrame, Window
@@ -20,12 +23,13 @@ from pyspark.sql import functions as F
 
 from .common import materialise, text_or_empty
 
-RANGES, SAMPLE, ROUNDS = 128, 8192, 3
+RANGES, SAMPLE = 128, 8192
 
 
 def _sample(rows: DataFrame, per_byte: float, salt: int) -> list[tuple]:
+    """(digest, id, weight, range) of a size-weighted sample; its size is bounded by bytes * per_byte and their spread."""
     u = (F.expr(f"xxhash64({salt}, _h, doc_id) & 1048575L") + 0.5) / 1048576.0
-    return [(r[0], r[1], max(r[2], 1.0 / per_byte)) for r in rows.filter(u < F.col("size") * per_byte).select("_h", "doc_id", F.col("size").cast("double")).collect()]
+    return [(r[0], r[1], max(r[2], 1.0 / per_byte), r[3]) for r in rows.filter(u < F.col("size") * per_byte).select("_h", "doc_id", F.col("size").cast("double"), "_range").collect()]
 
 
 def _order(key: tuple) -> tuple:
@@ -46,12 +50,17 @@ def _splitters(sampled: list[tuple], parts: int) -> list[tuple]:
 
 
 def _with_range(rows: DataFrame, splitters: list[tuple]) -> DataFrame:
-    """Range number = how many splitters are at or below the row's key (a literal array)."""
+    """Range number = how many splitters are at or below the row's key; looked up in two steps of literal arrays."""
     if not splitters:
         return rows.withColumn("_range", F.lit(0))
-    keys = F.array(*[F.struct(F.lit(h).cast("long").alias("h"), F.lit(d).cast("long").alias("d")) for h, d in splitters])
+    kind = "array<struct<h:string,d:bigint>>"
+    lit = lambda keys: F.array(*[F.struct(F.lit(h).alias("h"), F.lit(d).cast("long").alias("d")) for h, d in keys]).cast(kind)
+    step = math.isqrt(len(splitters)) + 1
     key = F.struct(F.col("_h").alias("h"), F.col("doc_id").cast("long").alias("d"))
-    return rows.withColumn("_range", F.size(F.filter(keys, lambda s: s <= key)))
+    below = lambda keys: F.size(F.filter(keys, lambda s: s <= key))
+    coarse = rows.withColumn("_coarse", below(lit(splitters[step - 1 :: step])))
+    parts = F.array(*[lit(splitters[at : at + step - 1]) for at in range(0, len(splitters) + 1, step)])
+    return coarse.withColumn("_range", F.col("_coarse") * step + below(parts[F.col("_coarse")])).drop("_coarse")
 
 
 def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", ranges: int = RANGES, sample: int = SAMPLE, group_tolerance: float = 0.02) -> DataFrame:
@@ -59,25 +68,29 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
 
     A null text has no bytes; size is its UTF-8 bytes plus 1.  Null ids sort
     first among equal texts; fully equal rows get neighbouring slots.  Slots
-    run from 0 without gaps in each shard.  An empty table gives no rows.
+    run from 0 without gaps in each shard.  An empty table gives no rows; ids
+    are integers; further columns are ignored.
     """
     text = text_or_empty(text_col)
     rows = materialise(
-        docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("_h")), "shard-keys"
+        docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(text.cast("binary")).alias("_h")), "shard-keys"
     )
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    splitters = sorted(set(_splitters(_sample(rows, sample / max(total, 1), 1), ranges)), key=_order)
-    for turn in range(ROUNDS):
-        by_range = {r[0]: (r[1], r[2], r[3]) for r in _with_range(rows, splitters).groupBy("_range").agg(F.sum("size"), F.count(F.lit(1)), F.max("size")).collect()}
-        over = [k for k, (b, n, _) in by_range.items() if b > 2 * total / ranges and n > 1]
+    whole = _with_range(rows, [])
+    splitters = sorted(set(_splitters(_sample(whole, sample / max(total, 1), 1), ranges)), key=_order)
+    turn = 1
+    while True:
+        turn += 1
+        ranged = _with_range(rows, splitters)
+        key = F.struct("_h", "doc_id")
+        found = ranged.groupBy("_range").agg(F.sum("size").alias("b"), (F.min(key) != F.max(key)).alias("divisible")).collect()  # at most as many rows as ranges
+        over = {r["_range"]: r["b"] for r in found if r["b"] > 2 * total / ranges and r["divisible"]}
         if not over:
             break
-        more = []
-        for k in over:  # at most 2 * ranges of them
-            cut = _sample(_with_range(rows, splitters).filter(F.col("_range") == k), 64 * ranges / max(total, 1), turn + 2)
-            more += _splitters(cut, -(-by_range[k][0] * ranges // max(total, 1)))
-        if not set(more) - set(splitters):
-            break
+        cut = _sample(ranged.filter(F.col("_range").isin(list(over))), 64 * ranges / max(total, 1), turn)
+        more = {s for k, b in over.items() for s in _splitters([c for c in cut if c[3] == k], -(-b * ranges // max(total, 1)))}
+        if not more - set(splitters):
+            break  # one row, or copies of one key, are all that the range's weight is made of
         splitters = sorted({*splitters, *more}, key=_order)
 
     within = Window.partitionBy("_range").orderBy("_h", "doc_id", "text_crc32", "size")

@@ -109,14 +109,51 @@ def test_chunked_scores_equal_broadcast(spark, docs_of, monkeypatch):
     assert one == two
 
 
+def read_filter(filt, keys):
+    n = len(keys)
+    return S.probe_filter(filt, keys, np.full(n, 8 * len(filt), np.uint64), np.zeros(n, np.uint64))
+
+
 def test_filter_levels():
     keys = np.arange(1, 20_001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     counts = np.random.default_rng(0).geometric(0.05, len(keys))
-    read = S.probe_filter(S.build_filter(keys, counts), keys)
+    filt = S.build_filter(keys, counts)
+    read = read_filter(filt, keys)
     assert (read >= counts / S.BASE_LOG - 1).all()  # never below its own level
     assert np.mean(np.abs(read - counts) <= counts * 0.5 + 1) > 0.97
-    other = S.probe_filter(S.build_filter(keys, counts), keys + np.uint64(12345))
-    assert (other > 0).mean() < 0.03
+    assert (read_filter(filt, keys + np.uint64(12345)) > 0).mean() < 0.03
+
+
+def brute_scores(rows):
+    """Scores of the same model with exact sets in place of the filter: counts of pairs are those of their levels."""
+    tokens = {k: [*(t or "").encode().lower().split(), None] for k, (_, t) in enumerate(rows)}
+    train = [k for k, (i, _) in enumerate(rows) if i is None or zlib.crc32(str(i).encode()) % 10]
+    words = Counter(x for k in train for x in tokens[k])
+    pairs = Counter(p for k in train for p in zip([None, *tokens[k][:-1]], tokens[k], strict=True))
+    n, once = sum(words.values()), sum(c == 1 for c in words.values())
+    unknown = max(once, 0.5) / (n + 1)
+    level = lambda c: S.level_count(1 + math.floor(math.log(c) / math.log(S.BASE_LOG) + 1e-9)) if c else 0.0
+    out = []
+    for k, x in tokens.items():
+        total = 0.0
+        for v, w in zip([None, *x[:-1]], x, strict=True):
+            p = (1 - unknown) * words[w] / max(n, 1) if words[w] else unknown
+            if words[v]:
+                p = S.INTERPOLATION * min(level(pairs[v, w]), words[v]) / words[v] + (1 - S.INTERPOLATION) * p
+            total += math.log10(p)
+        out.append((rows[k][0], total, len(x)))
+    return sorted(out)
+
+
+def test_scores_equal_exact_counts(spark, docs_of):
+    """The filter only ever errs upwards, and for few tokens."""
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    got = sorted((r["doc_id"], r["score"]) for r in S.score_texts(docs_of(rows)).collect())
+    over = tokens = 0.0
+    for (i, exact, n), (j, score) in zip(brute_scores(rows), got, strict=True):
+        assert i == j and score >= exact - 1e-6 * abs(exact)
+        over, tokens = over + score - exact, tokens + n
+    assert over / tokens < 0.02
 
 
 def test_pairs_seen_once_count(docs_of):
