@@ -66,12 +66,60 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"), shards=8)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_line_dedup, op3_exact_dedup, op4_decontamination, op5_lm_scoring, op6_near_dedup, op7_toxicity, op8_html_extraction, op9_pii, op10_sharding)}
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op5: all but the model's score."""
+    return op5_lm_scoring(spark, sf_dir).drop("score").withColumn("base_score", F.round("base_score", 6))
+
+
+def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op9: all but the spans that trees add."""
+    return op9_pii(spark, sf_dir).drop("spans")
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_line_dedup, op3_exact_dedup, op4_decontamination, op5_lm_scoring, op6_near_dedup, op7_toxicity, op8_html_extraction, op9_pii, op10_sharding, lm_base_scores, pii_base_spans)}
 
 _AZ = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "list_filter(regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
+#: CRC-32 (polynomial 0xEDB88320) of {} through the table of the CTE ``crc``.
+_CRC_TABLE = "crc AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i) ORDER BY i) AS tab FROM range(256) r(i))"
+_CRC = "xor(4294967295, list_reduce(list_transform(regexp_extract_all(hex(encode({})), '..'), lambda b: 16 * (strpos('0123456789ABCDEF', b[1]) - 1) + strpos('0123456789ABCDEF', b[2]) - 1)::BIGINT[], lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295))"
+_KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+_PIECES = " UNION ALL ".join(f"SELECT doc_id, {n} AS kn, '{k}' AS kind, string_split(regexp_replace(coalesce(text, ''), '({p})', chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS p FROM documents" for n, (k, p) in enumerate(_KINDS.items()))
+_LUHN = "list_sum(list_transform(range(length(d)), lambda i: CASE WHEN i % 2 = 0 THEN d[length(d) - i]::INT ELSE 2 * d[length(d) - i]::INT - CASE WHEN d[length(d) - i]::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
+
 ORACLE_SQL = {
+    "lm_base_scores": f"""
+        WITH {_CRC_TABLE},
+        d AS (SELECT doc_id, {_CRC.format("doc_id::VARCHAR")} % 10 = 0 AS held_out, list_append({_WORDS.format(_AZ.format("coalesce(text, '')"))}, ' ') AS w FROM documents, crc),
+        t AS (SELECT doc_id, held_out, unnest(w) AS w FROM d),
+        c AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w),
+        n AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM c)
+        SELECT doc_id, held_out, count(*)::BIGINT AS n_tokens, count(c.c)::BIGINT AS n_known, any_value(n.n) AS train_tokens,
+               round(sum(log10((coalesce(c.c, 0) + 0.1) / (n.n + 0.1 * (n.v + 1)))), 6) AS base_score
+        FROM t LEFT JOIN c USING (w), n GROUP BY doc_id, held_out""",
+    "pii_base_spans": f"""
+        WITH a AS ({_PIECES}),
+        x AS (SELECT doc_id, kn, kind, unnest(p) AS piece, generate_subscripts(p, 1) AS i FROM a),
+        y AS (SELECT *, sum(length(replace(piece, chr(2), ''))) OVER (PARTITION BY doc_id, kn ORDER BY i) - length(replace(piece, chr(2), '')) AS s, string_split(piece, chr(2))[1] AS m FROM x),
+        z AS (SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS d FROM y WHERE i > 1),
+        k AS (SELECT doc_id, kn, kind, s, kind || ':' || s::BIGINT || ':' || (s + length(m))::BIGINT AS span FROM z
+              WHERE CASE kind WHEN 'email' THEN true
+                WHEN 'ip' THEN list_bool_and(list_transform(string_split(m, '.'), lambda q: length(ltrim(q, '0')) <= 3 AND coalesce(try_cast(ltrim(q, '0') AS INT), 0) <= 255))
+                WHEN 'card' THEN length(d) BETWEEN 16 AND 19 AND {_LUHN} ELSE length(d) BETWEEN 8 AND 15 END)
+        SELECT o.doc_id, {", ".join(f"(count(*) FILTER (WHERE kind = '{k}'))::BIGINT AS n_{k}" for k in _KINDS)}, sha256(coalesce(string_agg(span, ',' ORDER BY kn, s), '')) AS base_sha256
+        FROM documents o LEFT JOIN k ON k.doc_id = o.doc_id GROUP BY o.doc_id""",
+    "op10_sharding": f"""
+        WITH {_CRC_TABLE},
+        r AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT + 1 AS size, {_CRC.format("coalesce(text, '')")}::BIGINT AS text_crc32, md5(coalesce(text, '')) AS h FROM documents, crc),
+        p AS (SELECT *, sum(size) OVER o - size AS pos, row_number() OVER o AS n FROM r WINDOW o AS (ORDER BY h, doc_id, text_crc32, size ROWS UNBOUNDED PRECEDING)),
+        g AS (SELECT h, min(pos) AS low, max(pos + size) AS high FROM p GROUP BY h),
+        b AS (SELECT sum(size) * k / 8 AS b, any_value(t.total) AS total FROM r, range(1, 8) q(k), (SELECT sum(size) AS total FROM r) t GROUP BY k),
+        e AS (SELECT b, CASE WHEN high - low <= 0.02 * total / 8 THEN low ELSE pos END AS lo, CASE WHEN high - low <= 0.02 * total / 8 THEN high ELSE pos + size END AS hi
+              FROM p JOIN g USING (h) JOIN b ON pos < b AND pos + size >= b),
+        f AS (SELECT list(CASE WHEN b - lo <= hi - b THEN lo ELSE hi END) AS edges FROM e),
+        s AS (SELECT p.*, len(list_filter(edges, lambda v: pos >= v))::INT AS shard FROM p, f)
+        SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, n - min(n) OVER (PARTITION BY shard) AS slot, NULL::INT AS grown_shard FROM s""",
     "op2_line_dedup": f"""
         WITH l AS (
           SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
