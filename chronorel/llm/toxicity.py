@@ -23,12 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_package
+from .common import materialise, ship_package
 from .shingles import give_back, lean
 
 #: Bounds of the training sample, taken in order of a hash of the id.
 MAX_POSITIVE, MAX_UNLABELLED = 3_000, 9_000
 BITS, PREFIXES, MAX_FEATURES = 20, (4, 5, 6), 4_096
+#: A feature is considered if this many positives have it, and this many times the share of unlabelled rows.
+MIN_ROWS, RATIO = 3, 2.5
 _PUNCTUATION = str.maketrans({c: " " for c in string.punctuation})
 
 
@@ -69,51 +71,64 @@ class Model:
     prior: float
 
 
-def _select(pos: list[np.ndarray], unl: list[np.ndarray]) -> np.ndarray:
+def _select(feature: np.ndarray, p_rows: np.ndarray, u_rows: np.ndarray, n_pos: int, n_unl: int, tested: int) -> np.ndarray:
     """Features whose document rate among positives exceeds that of the unlabelled sample beyond chance."""
-    rate = []
-    for rows in (pos, unl):
-        n = np.zeros(1 << BITS, np.float32)
-        for r in rows:
-            n[np.unique(r)] += 1
-        rate.append(n)
-    p, u = rate[0] / len(pos), np.clip(rate[1] / len(unl), 0.5 / len(unl), 1 - 0.5 / len(unl))
+    p, u = p_rows / n_pos, np.clip(u_rows / n_unl, 0.5 / n_unl, 1 - 0.5 / n_unl)
     kl = p * np.log(np.maximum(p, 1e-12) / u) + (1 - p) * np.log(np.maximum(1 - p, 1e-12) / (1 - u))
-    tested = rate[0] >= 3
-    gain = np.where(tested & (p > 2.5 * u), 2 * len(pos) * kl, 0)  # likelihood ratio against the unlabelled rate
-    best = np.argsort(-gain, kind="stable")[:MAX_FEATURES]
-    return np.sort(best[gain[best] > 2 * np.log(max(tested.sum(), 2)) + 4])
+    gain = np.where((p_rows >= MIN_ROWS) & (p > RATIO * u), 2 * n_pos * kl, 0)  # likelihood ratio against the unlabelled rate
+    best = np.lexsort((feature, -gain))[:MAX_FEATURES]
+    return np.sort(feature[best[gain[best] > 2 * np.log(max(tested, 2)) + 4]])
 
 
-def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, rounds: int = 600, rate: float = 0.1, decay: float = 2e-5) -> Model:
+@dataclass
+class Sample:
+    """Rows of one kind: which chosen feature (col) occurs in which row, one entry an occurrence."""
+
+    row: np.ndarray
+    col: np.ndarray
+    n: int
+
+    def scores(self, w: np.ndarray, b: float) -> np.ndarray:
+        return np.bincount(self.row, w[self.col], self.n) + b
+
+    def gradient(self, d: np.ndarray, size: int) -> np.ndarray:
+        return np.append(np.bincount(self.col, d[self.row], size), d.sum())
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def pu_risk(w: np.ndarray, b: float, pos: Sample, unl: Sample, prior: float) -> tuple[float, float]:
+    """prior * R_p(+) and R_u(-) - prior * R_p(-), under the logistic loss."""
+    gp, gu = pos.scores(w, b), unl.scores(w, b)
+    return prior * np.logaddexp(0, -gp).mean(), np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+
+
+def pu_gradient(w: np.ndarray, b: float, pos: Sample, unl: Sample, prior: float) -> np.ndarray:
+    """Direction of the corrected risk over (w, b): of the whole risk, or away from a negative part below zero."""
+    gp, gu = pos.scores(w, b), unl.scores(w, b)
+    minus = unl.gradient(_sigmoid(gu) / unl.n, len(w)) - prior * pos.gradient(_sigmoid(gp) / pos.n, len(w))
+    if pu_risk(w, b, pos, unl, prior)[1] < 0:
+        return -minus
+    return prior * pos.gradient(-_sigmoid(-gp) / pos.n, len(w)) + minus
+
+
+def constant(prior: float) -> Model:
+    """What is left without both kinds of labels: nearly 0 where none is toxic, nearly 1 where all are."""
+    return Model({}, float(np.clip(np.log(max(prior, 1e-12) / max(1 - prior, 1e-12)), -20, 20)), prior)
+
+
+def fit(chosen: np.ndarray, pos: Sample, unl: Sample, prior: float, rounds: int = 600, rate: float = 0.1, decay: float = 2e-5) -> Model:
     """Non-negative PU fit with logistic loss and full-batch Adam; deterministic."""
-    if not pos or not unl:
-        return Model({}, float(np.log(prior / (1 - prior))) if 0 < prior < 1 else -20.0, prior)
-    chosen = _select(pos, unl)
-    place = np.full(1 << BITS, -1, np.int32)
-    place[chosen] = np.arange(len(chosen))
-
-    def matrix(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        cols = [place[r] for r in rows]
-        cols = [c[c >= 0] for c in cols]
-        return np.repeat(np.arange(len(rows)), [len(c) for c in cols]), np.concatenate(cols) if cols else np.empty(0, np.int32)
-
-    (pr, pc), (ur, uc) = matrix(pos), matrix(unl)
     w, b, m, v = np.zeros(len(chosen)), -2.0, np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
-    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-    scores = lambda r, c, n: np.bincount(r, w[c], n) + b
-    grad = lambda r, c, d: np.append(np.bincount(c, d[r], len(chosen)), d.sum())
     for t in range(1, rounds + 1):
-        gp, gu = scores(pr, pc, len(pos)), scores(ur, uc, len(unl))
-        negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        d_minus_u, d_minus_p, d_plus = sigmoid(gu) / len(unl), sigmoid(gp) / len(pos), -sigmoid(-gp) / len(pos)
-        minus = grad(ur, uc, d_minus_u) - prior * grad(pr, pc, d_minus_p)
-        g = prior * grad(pr, pc, d_plus) + minus if negative >= 0 else -minus
+        g = pu_gradient(w, b, pos, unl, prior)
         g[:-1] += decay * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
-    b += _shift(scores(pr, pc, len(pos)), scores(ur, uc, len(unl)), prior)
+    b += _shift(pos.scores(w, b), unl.scores(w, b), prior)
     return Model({int(k): float(x) for k, x in zip(chosen, w, strict=True)}, float(b), prior)
 
 
@@ -137,22 +152,40 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on at most max_positive + max_unlabelled rows of the fold crc32(id) mod 3 <> 1.
 
     The class prior is the share of toxic labels in the whole fold.  Null
-    labels and null ids are left out.
+    labels and null ids are left out.  With labels of one class only the score
+    is constant.
     """
     ship_package(docs.sparkSession)
     fold = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_toxic")).filter("_id is not null and _toxic is not null and crc32(cast(_id as string)) % 3 <> 1")
     n, toxic = fold.agg(F.count(F.lit(1)), F.coalesce(F.sum("_toxic"), F.lit(0))).first()
     if not n or not toxic or toxic == n:
-        return fit([], [], toxic / n if n else 0.0)
+        return constant(toxic / n if n else 0.0)
     order = F.xxhash64("_id")
     positive = fold.filter("_toxic = 1").orderBy(order).limit(max_positive).withColumn("_toxic", F.lit(1))
     unlabelled = fold.orderBy(order).limit(max_unlabelled).withColumn("_toxic", F.lit(0))  # drawn from all rows, labels dropped
     sample = F.broadcast(positive.unionByName(unlabelled))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(sample, "_id").select("_toxic", "_t").mapInArrow(lean(_featurise), "toxic int, features array<int>").toArrow()
-    kinds, feats = rows.column("toxic").to_numpy(), rows.column("features")
-    arrays = [np.asarray(x.values.to_numpy(zero_copy_only=False)) for x in feats]
-    model = fit([a for a, k in zip(arrays, kinds, strict=True) if k == 1], [a for a, k in zip(arrays, kinds, strict=True) if k == 0], toxic / n)
-    del rows, feats, arrays
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(sample, "_id").select("_toxic", "_t")
+    rows = materialise(texts.mapInArrow(lean(_featurise), "toxic int, features array<int>").withColumn("row", F.monotonically_increasing_id()), "tox-features")
+    size = {r[0]: r[1] for r in rows.groupBy("toxic").agg(F.count(F.lit(1))).collect()}
+    n_pos, n_unl = size.get(1, 0), size.get(0, 0)
+    if not n_pos or not n_unl:
+        return constant(0.0)
+    # texts stay on the executors: the driver gets row counts of features (at most 2 ** BITS), then entries of the chosen ones
+    seen = rows.select("toxic", F.explode(F.array_distinct("features")).alias("f")).groupBy("f").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("u")).filter(F.col("p") >= MIN_ROWS)
+    held = materialise(seen, "tox-counts")
+    found = held.filter(F.col("p") * n_unl > RATIO * F.col("u") * n_pos).orderBy("f").collect()
+    feature, p_rows, u_rows = (np.array([r[c] for r in found], np.int64) for c in ("f", "p", "u"))
+    chosen = _select(feature, p_rows, u_rows, n_pos, n_unl, held.count()) if found else feature
+    wanted = F.broadcast(docs.sparkSession.createDataFrame([(int(f), k) for k, f in enumerate(chosen)], "f int, col int"))
+    entries = rows.select("toxic", "row", F.explode("features").alias("f")).join(wanted, "f").select("toxic", "row", "col").toArrow()
+    kind, row, col = (entries.column(c).to_numpy() for c in ("toxic", "row", "col"))
+
+    def part(k: int, n: int) -> Sample:
+        at = np.lexsort((col[kind == k], row[kind == k]))
+        return Sample(np.unique(row[kind == k][at], return_inverse=True)[1], col[kind == k][at], n)
+
+    model = fit(chosen, part(1, n_pos), part(0, n_unl), toxic / n)
+    del entries, kind, row, col
     give_back()
     return model
 
@@ -183,8 +216,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **names: str) -> DataFrame:
     """Per input row: doc_id, held_out (never learned from), score, predicted (1 if score >= threshold).
 
-    Null ids count as not held out and never take part in training.  Empty
-    label tables give a constant score of 0; empty document tables no rows.
+    Null ids count as not held out and never take part in training; rows that
+    repeat an id share its label.  Label tables that are empty or have no toxic
+    row give a constant score close to 0, those with toxic rows only one close
+    to 1; empty document tables give no rows.  Ids are integers; further
+    columns are ignored.
     """
     scored = score(docs, train(docs, labels, **names), **{k: v for k, v in names.items() if k != "label_col"})
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -192,7 +228,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, *
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """The rows of docs, all columns, whose text scores below the threshold."""
+    """The rows of docs, all columns, whose text scores below the threshold.
+
+    A null text scores as an empty one; ids only link labels, so null and
+    repeated ids change nothing.  Empty tables stay empty.
+    """
     model = train(docs, labels, id_col, text_col)
     spark, schema = docs.sparkSession, docs.schema
     sent = spark.sparkContext.broadcast(model)

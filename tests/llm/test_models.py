@@ -219,6 +219,48 @@ def test_toxicity_without_labels(spark, docs_of, odd):
     assert len(got) == len(odd) and not any(r["predicted"] for r in got)
 
 
+def test_labels_of_one_class(spark, docs_of):
+    rows = [(n, f"text {n}") for n in range(60)]
+    table = spark.createDataFrame([(n, 1) for n in range(60)], "doc_id long, toxic int")
+    assert all(r["score"] > 0.99 and r["predicted"] for r in X.score_toxicity(docs_of(rows), table).collect())
+
+
+def test_risk_gradient_by_differences():
+    """The direction of descent against differences of the risk, written out row by row."""
+    rnd = np.random.default_rng(5)
+    for shift in (-2.0, 0.0, 3.0):
+        samples, rows = [], []
+        for n in (7, 11):
+            dense = rnd.integers(0, 3, (n, 4))
+            row, col = np.nonzero(dense)
+            times = dense[row, col]
+            samples.append(X.Sample(np.repeat(row, times), np.repeat(col, times), n))
+            rows.append(dense)
+        w, prior = rnd.normal(size=4), 0.4
+
+        def risk(theta):
+            gp, gu = (d @ theta[:4] + theta[4] for d in rows)
+            plus, minus = prior * np.mean(np.log1p(np.exp(-gp))), np.mean(np.log1p(np.exp(gu))) - prior * np.mean(np.log1p(np.exp(gp)))
+            return plus, minus
+
+        theta = np.append(w, shift)
+        assert X.pu_risk(w, shift, *samples, prior) == pytest.approx(risk(theta))
+        goal = (lambda t: sum(risk(t))) if risk(theta)[1] >= 0 else (lambda t: -risk(t)[1])
+        slope = [(goal(theta + 1e-6 * e) - goal(theta - 1e-6 * e)) / 2e-6 for e in np.eye(5)]
+        assert X.pu_gradient(w, shift, *samples, prior) == pytest.approx(slope, abs=1e-5)
+
+
+def test_toxicity_scores_by_hand(docs_of):
+    weights = {f: 0.25 * k for k, f in enumerate(X.word_features(b"nasty") + X.word_features(b"vile"))}
+    model = X.Model(weights, -1.0, 0.1)
+    texts = ["Nasty, vile!", "nasty nasty", "", None, "fine words", "nastier"]
+    got = {r["doc_id"]: r["score"] for r in X.score(docs_of(list(enumerate(texts))), model).collect()}
+    for k, t in enumerate(texts):
+        words = set(re.sub(r"[^a-z ]", " ", (t or "").lower()).split())
+        total = -1.0 + sum(weights.get(f, 0.0) for w in words for f in X.word_features(w.encode()))
+        assert got[k] == pytest.approx(1 / (1 + math.exp(-total)))
+
+
 # HTML
 
 
