@@ -89,10 +89,14 @@ def unused(df: DataFrame, *names: str) -> list[str]:
 
 
 def without_rows(docs: DataFrame, gone: DataFrame, identity: list[Column]) -> DataFrame:
-    """The rows of ``docs``, all columns, whose ``identity`` (expressions over docs) is no row of ``gone``; nulls are equal."""
+    """The rows of ``docs``, all columns, whose ``identity`` (expressions over docs) is no row of ``gone``.
+
+    The first expression is an id and may be null (nulls are equal); the others
+    are digests, never null, so a plain equality computes them once a side.
+    """
     names = unused(docs, *gone.columns)
     gone = gone.toDF(*names)
-    same = [mine.eqNullSafe(F.col(theirs)) for mine, theirs in zip(identity, names, strict=True)]
+    same = [mine == F.col(theirs) if k else mine.eqNullSafe(F.col(theirs)) for k, (mine, theirs) in enumerate(zip(identity, names, strict=True))]
     return docs.join(gone, reduce(lambda a, b: a & b, same), "left_anti")
 
 
