@@ -9,16 +9,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that say nothing about a task.
-STOP_WORDS = frozenset("a an and are as at by for from in is of on or the to with".split())
+STOP_WORDS = frozenset("the for and with from task predict prediction next value target entity table column same using".split())
 
 
 def singular_forms(token: str) -> list[str]:
-    out = [token]
-    if token.endswith("es") and len(token) > 3:
-        out.append(token[:-2])
-    if token.endswith("s") and len(token) > 2:
-        out.append(token[:-1])
-    return out
+    """The token, then what is left without a plural ending, if enough is."""
+    return [token] + [token[: -len(end)] for end, least in (("es", 5), ("s", 4)) if token.endswith(end) and len(token) >= least]
 
 
 def identifier_tokens(name: str) -> list[str]:
@@ -28,8 +24,9 @@ def identifier_tokens(name: str) -> list[str]:
 
 
 def task_tokens(text: str) -> list[str]:
-    """Identifier tokens of a task text: at least 3 characters, no stop words."""
-    return [t for t in identifier_tokens(text) if len(t) >= 3 and t not in STOP_WORDS]
+    """Words of a task text of at least 3 characters that are no stop words, with their singular forms."""
+    said = [w for w in re.findall(r"[a-z0-9]+", text.lower()) if len(w) >= 3 and w not in STOP_WORDS]
+    return list(dict.fromkeys(f for w in said for f in singular_forms(w)))
 
 
 def identifier_tokens_col(c: Column) -> Column:
@@ -38,8 +35,8 @@ def identifier_tokens_col(c: Column) -> Column:
     cut = lambda p, n: F.substring(p, F.lit(1), F.length(p) - n)
     forms = lambda p: F.concat(
         F.array(p),
-        F.when(p.endswith("es") & (F.length(p) > 3), F.array(cut(p, 2))).otherwise(F.array().cast("array<string>")),
-        F.when(p.endswith("s") & (F.length(p) > 2), F.array(cut(p, 1))).otherwise(F.array().cast("array<string>")),
+        F.when(p.endswith("es") & (F.length(p) > 4), F.array(cut(p, 2))).otherwise(F.array().cast("array<string>")),
+        F.when(p.endswith("s") & (F.length(p) > 3), F.array(cut(p, 1))).otherwise(F.array().cast("array<string>")),
     )
     return F.array_distinct(F.flatten(F.transform(parts, forms)))
 
@@ -120,8 +117,9 @@ def first_number(c: Column, default: float = 0.0) -> Column:
 
 
 def path_id(c: Column) -> Column:
-    """Canonical path id ``p000123`` of any text with a number."""
-    return F.concat(F.lit("p"), F.lpad(F.regexp_extract(c, r"([0-9]+)", 1), 6, "0"))
+    """Canonical path id ``p000123``: the number after a p, else one that stands alone; null for texts without either."""
+    number = lambda pattern: F.nullif(F.regexp_extract(c, pattern, 1), F.lit(""))
+    return F.concat(F.lit("p"), F.lpad(F.coalesce(number(r"(?i)p\s*0*([0-9]{1,6})"), number(r"\b([0-9]{1,6})\b")), 6, "0"))
 
 
 def numeric_map(m: Column) -> Column:

@@ -131,6 +131,42 @@ def rescore(paths: DataFrame, hint_tables: list[str]) -> DataFrame:
     return out.withColumn("dominated", F.round(penalty, 3)).withColumn("final", F.round(F.col("base") - penalty, 3)).drop("best", "base")
 
 
+#: Bonus of a preferred and of an optional motif, of one that starts the path, and the penalties of priors.
+MOTIF, OPTIONAL_MOTIF, MOTIF_START, DISCOURAGED, TOO_DEEP = 3.0, 1.5, 0.8, 2.0, 2.0
+#: Fixed value: share of a column hint that its attributes get.
+COLUMN_HINT = 0.45
+
+
+def with_priors(paths: DataFrame, priors: dict, score: str = "relevance") -> DataFrame:
+    """Adds ``prior_bonus`` and ``final``; paths much deeper than preferred are no longer recommended.
+
+    ``priors``: preferred_motifs and optional_motifs (lists of table names that
+    a path should start with, or at least hold), discouraged_tables and
+    preferred_max_depth.  Names are compared in lower case.
+    """
+    low = F.transform("tables", lambda t: F.lower(t))
+    bonus, names = F.lit(0.0), lambda xs: F.array(*[F.lit(str(x).lower()) for x in xs])
+    for key, weight in (("preferred_motifs", MOTIF), ("optional_motifs", OPTIONAL_MOTIF)):
+        for motif in priors.get(key) or []:
+            if isinstance(motif, (list, tuple)) and motif:
+                starts = F.slice(low, 1, len(motif)) == names(motif)
+                holds = F.size(F.array_except(names(motif), low)) == 0
+                bonus = bonus + F.when(starts, weight + MOTIF_START).when(holds, weight).otherwise(0.0)
+    deeper = F.greatest(F.col("depth") - int(priors.get("preferred_max_depth", 3)), F.lit(0))
+    if priors.get("discouraged_tables"):
+        bonus = bonus - F.when(F.arrays_overlap(low, names(priors["discouraged_tables"])), DISCOURAGED).otherwise(0.0)
+    marked = paths.withColumn("prior_bonus", F.round(bonus - TOO_DEEP * deeper, 3)).withColumn("recommended", F.col("recommended") & (deeper <= 1))
+    return marked.withColumn("final", F.round(F.col(score) + F.col("prior_bonus"), 3))
+
+
+def hinted_columns(columns: DataFrame, hints: dict[tuple[str, str], float]) -> DataFrame:
+    """(table, column, score, ...) with the score raised by the hints of columns."""
+    total = F.lit(0.0)
+    for (t, c), w in hints.items():
+        total = total + F.when((F.lower("table") == t.lower()) & (F.lower("column") == c.lower()), COLUMN_HINT * w).otherwise(0.0)
+    return columns.withColumn("score", F.round(F.col("score") + total, 6))
+
+
 def eligible(paths: DataFrame, anchor: str, preferred_depth: int = 3) -> DataFrame:
     """Anchored, recommended, cut-off-able paths that are not much deeper than preferred."""
     return paths.filter((F.col("tables")[0] == anchor) & (F.col("depth") <= preferred_depth + 1) & F.col("recommended") & F.col("temporal_valid"))

@@ -68,6 +68,32 @@ def default_policy(rows: list[PathRow], hints: set[str], targets: set[str]) -> d
     return {"selected_paths": [r.path_id for r in select_greedily(rows, hints, targets)], "dropped_paths": [], "budgets": {"history": 10, "top_k": 20, "hops": 2, "peers": 3}, "sampling": "most_recent_k"}
 
 
+def artifact_header(dataset: str, cutoff: object, version: str = "1") -> dict:
+    """What every artifact starts with."""
+    return {"artifact_version": version, "dataset_name": dataset, "generation_timestamp_utc": dt.datetime.now(dt.timezone.utc).isoformat(timespec="seconds"), "global_cutoff_time": json_safe(cutoff)}
+
+
+def prompt_object(task: dict, rows: list[PathRow], semantics: dict, stats: dict, feature_hints: dict | None = None, most: int = 80) -> dict:
+    """What a solver or critic reads: the task, its best candidate paths, roles, statistics and hints."""
+    best = sorted(rows, key=lambda r: (-r.final, r.path_id))[:most]
+    paths = [{"path_id": r.path_id, "depth": r.depth, "path_tables": r.tables, "final_relevance_score": r.final, "top_attribute_candidates": r.attributes[:10]} for r in best]
+    return {"task_definition": task, "candidate_paths": paths, "recommended_path_ids": [p["path_id"] for p in paths], "semantics_summary": semantics, "stats_summary": stats, "feature_hints": json_safe(feature_hints or {})}
+
+
+def task_priors(prompt: dict, ask: Callable[[dict], object] | None = None, neighbours: list[str] | None = None) -> dict:
+    """Path priors of a task from an injected model, each key that it leaves out at its default.
+
+    Without a model, or where its answer is no mapping, motifs lead from the
+    entity table to its best neighbours, at most 3 deep.
+    """
+    anchor = str(prompt["task_definition"].get("entity_table", ""))
+    plain = {"anchor_table": anchor, "preferred_motifs": [], "optional_motifs": [], "discouraged_tables": [], "preferred_max_depth": 3, "rationale": "model"}
+    answer = ask(prompt) if ask else None
+    if isinstance(answer, dict):
+        return {**plain, **{k: v for k, v in answer.items() if k in plain}}
+    return {**plain, "preferred_motifs": [[anchor, n] for n in neighbours or []], "rationale": "fallback"}
+
+
 def flagged_ids(critique: dict, known: set[str]) -> list[str]:
     """Known path ids that a critique names anywhere in its text."""
     text = json.dumps(json_safe(critique))

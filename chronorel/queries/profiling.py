@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..catalog import Catalog
+from ..catalog import DATASETS, Catalog
 from ..functions import text as X
 from ..operators import profiling as P
 from .base import Registry
@@ -160,7 +160,7 @@ def corr_topk(c: Catalog) -> DataFrame:
 # scalar functions
 
 
-_FORMS = "list_concat([p], CASE WHEN p LIKE '%es' AND length(p) > 3 THEN [p[:-3]] ELSE [] END, CASE WHEN p LIKE '%s' AND length(p) > 2 THEN [p[:-2]] ELSE [] END)"
+_FORMS = "list_concat([p], CASE WHEN p LIKE '%es' AND length(p) > 4 THEN [p[:-3]] ELSE [] END, CASE WHEN p LIKE '%s' AND length(p) > 3 THEN [p[:-2]] ELSE [] END)"
 _PARTS = "list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda p: length(p) >= 2)"
 
 
@@ -175,10 +175,11 @@ def render_rows(c: Catalog) -> DataFrame:
     return c.df("orders").select("o_orderkey", X.row_text("orders", F.col("o_orderdate"), cells).alias("line"))
 
 
-@R.add("SELECT event_id, coalesce(try_cast(regexp_extract('answer: ' || CAST(CAST(round(value * 4) AS BIGINT) AS VARCHAR) || ' units', '[-+]?[0-9]*\\.?[0-9]+') AS DOUBLE), 0.0) AS number, 'p' || lpad(regexp_extract('path-' || event_id, '([0-9]+)', 1), 6, '0') AS path FROM events")
+@R.add("SELECT event_id, coalesce(try_cast(regexp_extract('answer: ' || CAST(CAST(round(value * 4) AS BIGINT) AS VARCHAR) || ' units', '[-+]?[0-9]*\\.?[0-9]+') AS DOUBLE), 0.0) AS number, 'p' || lpad(coalesce(nullif(regexp_extract(said, '(?i)p\\s*0*([0-9]{1,6})', 1), ''), nullif(regexp_extract(said, '\\b([0-9]{1,6})\\b', 1), '')), 6, '0') AS path FROM (SELECT *, [CASE event_id % 4 WHEN 0 THEN 'path-' || event_id WHEN 1 THEN 'see P 00' || event_id || ' and 7' WHEN 2 THEN 'no number here' ELSE 'x' || event_id || '_ 12' END][1] AS said FROM events)")
 def extract_number(c: Catalog) -> DataFrame:
-    said = F.concat(F.lit("answer: "), F.round(F.col("value") * 4).cast("long").cast("string"), F.lit(" units"))
-    return c.df("events").select("event_id", X.first_number(said).alias("number"), X.path_id(F.concat(F.lit("path-"), F.col("event_id").cast("string"))).alias("path"))
+    answer = F.concat(F.lit("answer: "), F.round(F.col("value") * 4).cast("long").cast("string"), F.lit(" units"))
+    said = F.expr("case event_id % 4 when 0 then 'path-' || event_id when 1 then 'see P 00' || event_id || ' and 7' when 2 then 'no number here' else 'x' || event_id || '_ 12' end")
+    return c.df("events").select("event_id", X.first_number(answer).alias("number"), X.path_id(said).alias("path"))
 
 
 @R.add("SELECT c_custkey, lower(trim(c_mktsegment)) AS sig_text, CAST(c_nationkey AS VARCHAR) AS sig_key FROM customer")
@@ -194,14 +195,24 @@ def numeric_feature_map(c: Catalog) -> DataFrame:
 
 
 _COLS = [("orders", x) for x in _ORDERS] + [("labels", x) for x in ("doc_id", "quality", "toxic")] + [("embeddings", "label")]
-_ROLE = {"o_orderkey": "primary_key", "o_custkey": "foreign_key", "o_orderstatus": "category", "o_totalprice": "measure", "o_orderdate": "timestamp", "o_orderpriority": "category"}
+_DECLARED = [(t.name, k, kind) for t in DATASETS["shop"] for k, kind in [*([(t.pk, "primary_key")] if t.pk else []), *((f, "foreign_key") for f in t.fks), *([(t.time_col, "timestamp")] if t.time_col else [])]]
+_MORE = ("embeddings", "labels", "documents")  # tables without declared keys
+_NAMED = ", ".join(f"'{t}'" for t in [*(t.name for t in DATASETS["shop"]), *_MORE])
 
 
-@R.add("SELECT * FROM (VALUES " + ", ".join(f"('orders', '{x}', '{_ROLE[x]}', FALSE)" for x in _ORDERS) + ", ('embeddings', 'label', 'measure', TRUE)) t(\"table\", \"column\", role, leaks)")
+@R.add(
+    f"""WITH k(t, c, kind) AS (VALUES {", ".join(str(d) for d in _DECLARED)}),
+    i AS (SELECT DISTINCT table_name AS t, column_name AS c, lower(column_name) AS n, data_type AS d FROM information_schema.columns WHERE table_name IN ({_NAMED}))
+    SELECT i.t AS "table", i.c AS "column", coalesce(min(CASE kind WHEN 'primary_key' THEN '1primary_key' WHEN 'foreign_key' THEN '2foreign_key' WHEN 'timestamp' THEN '3timestamp' END)[2:],
+      CASE WHEN n LIKE '%id' OR n LIKE '%key' THEN 'identifier' WHEN regexp_matches(n, 'status|type|segment|priority|flag|category|class') THEN 'category'
+        WHEN regexp_matches(n, 'name|title|comment|description|text') THEN 'text' WHEN d IN ('TINYINT', 'SMALLINT', 'INTEGER', 'BIGINT', 'FLOAT', 'DOUBLE') THEN 'measure' ELSE 'category' END) AS role,
+      regexp_matches(n, 'label|target|future|leak|outcome') AS leaks
+    FROM i LEFT JOIN k ON k.t = i.t AND k.c = i.c GROUP BY i.t, i.c, n, d"""
+)
 def column_roles(c: Catalog) -> DataFrame:
-    t = c.tables["orders"]
-    rows = [("orders", x, x == t.pk, x in t.fks, x == t.time_col, k in P.NUMERIC) for x, k in c.df("orders").dtypes]
-    rows += [("embeddings", "label", False, False, False, True)]
+    kind = {(t, x): k for t, x, k in reversed(_DECLARED)}
+    tables = [(t, c.df(t)) for t in c.tables] + [(t, c.spark.read.parquet(c.path(t))) for t in _MORE]
+    rows = [(t, x, kind.get((t, x)) == "primary_key", kind.get((t, x)) == "foreign_key", kind.get((t, x)) == "timestamp", k in P.NUMERIC) for t, df in tables for x, k in df.dtypes]
     meta = c.spark.createDataFrame(rows, "`table` string, `column` string, is_pk boolean, is_fk boolean, is_time boolean, is_numeric boolean")
     col = F.col
     return meta.select("table", "column", X.column_role(col("column"), col("is_pk"), col("is_fk"), col("is_time"), col("is_numeric")).alias("role"), X.leakage_name(col("column")).alias("leaks"))

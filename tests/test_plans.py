@@ -126,3 +126,58 @@ def test_cli(capsys):
 
     cli.main(["--root", "/root/testdata/sf0.001", "tables"])
     assert "customer" in capsys.readouterr().out
+
+
+def test_cli_splits_and_preprocess(capsys, tmp_path, spark):
+    from chronorel import cli
+
+    root = "/root/testdata/sf0.001"
+    cli.main(["--root", root, "materialize"])
+    assert "region 5 rows 2 columns" in capsys.readouterr().out
+    when = ["--table", "orders", "--val", "1999-01-01", "--test", "2000-01-01"]
+    cli.main(["--root", root, "splits", *when])
+    said = capsys.readouterr().out
+    assert sum(int(x.split()[1]) for x in said.splitlines()[:3]) == 1500 and "o_orderdate" in said
+    cli.main(["--root", root, "preprocess", *when, "--out", str(tmp_path)])
+    train = spark.read.parquet(str(tmp_path / "shop__orders__train"))
+    assert train.count() == int(said.splitlines()[0].split()[1]) and train.filter("o_orderdate >= timestamp_ntz'1999-01-01'").count() == 0
+    assert (tmp_path / "manifest.json").exists()
+
+
+def test_annotation():
+    from chronorel.plans import semantics as M
+
+    tables = {"visits": ("event", {"visit_id": "primary_key", "user_id": "foreign_key", "when_time": "category", "kind": "category", "price": "measure", "ref_id": "category"})}
+    one = lambda t, c: {"table_role": "entity|event", "columns": {"kind": "text", "price": "Measure!", "when_time": "text"}}
+    two = lambda t, c: {"table_role": "event", "columns": {"kind": "text", "price": "nonsense", "visit_id": "text"}}
+    bad = lambda t, c: 1 / 0
+    got = M.annotate(tables, [one, two, bad, lambda t, c: "no mapping"])
+    roles = {c["name"]: c["role"] for c in got["tables"][0]["columns"]}
+    assert roles == {"visit_id": "primary_key", "user_id": "foreign_key", "when_time": "timestamp", "kind": "text", "price": "measure", "ref_id": "identifier"}
+    assert got["failures"] == 2 and got["tables"][0]["table_role"] == "event" and got["validation"]["passed"]
+    critic = lambda t, c, voted: {"columns": {"kind": "category", "price": 7}}
+    assert {c["name"]: c["role"] for c in M.annotate(tables, [one, two], critic)["tables"][0]["columns"]}["kind"] == "category"
+    wrong = [{"table_name": "t", "table_role": "x", "columns": [{"name": "a_id", "role": "text"}, {"name": "the_date", "role": "measure"}, {"name": "b", "role": "y"}]}]
+    assert [i["type"] for i in M.validate_roles(wrong)["issues"]] == ["invalid_table_role", "id_name_mismatch", "timestamp_name_mismatch", "invalid_column_role"]
+    assert M.repair_role(None, M.TABLE_ROLES, "static") == "static"
+
+
+def test_priors_and_column_hints(spark):
+    from chronorel.plans import paths as A
+
+    rows = [(["c", "o"], 1, 1.0, True), (["c", "o", "l"], 2, 1.0, True), (["p", "l", "o", "c"], 5, 1.0, True)]
+    paths = spark.createDataFrame(rows, "tables array<string>, depth int, relevance double, recommended boolean")
+    priors = {"preferred_motifs": [["C", "O"]], "optional_motifs": [["l"]], "discouraged_tables": ["P"], "preferred_max_depth": 3}
+    got = [(r["prior_bonus"], r["final"], r["recommended"]) for r in A.with_priors(paths, priors).orderBy("depth").collect()]
+    assert got == [(3.8, 4.8, True), (5.3, 6.3, True), (-1.5, -0.5, False)]
+    columns = spark.createDataFrame([("o", "price", 1.0), ("o", "day", 1.0)], "`table` string, `column` string, score double")
+    assert {r["column"]: r["score"] for r in A.hinted_columns(columns, {("O", "price"): 2.0}).collect()} == {"price": 1.9, "day": 1.0}
+
+
+def test_prompt_and_priors():
+    prompt = K.prompt_object({"entity_table": "c"}, ROWS, {}, {}, {("o", "price"): 1.0})
+    assert [p["path_id"] for p in prompt["candidate_paths"]] == [r.path_id for r in sorted(ROWS, key=lambda r: (-r.final, r.path_id))]
+    assert K.task_priors(prompt, neighbours=["o"])["preferred_motifs"] == [["c", "o"]]
+    assert K.task_priors(prompt, lambda p: {"preferred_max_depth": 2, "other": 1}) == {"anchor_table": "c", "preferred_motifs": [], "optional_motifs": [], "discouraged_tables": [], "preferred_max_depth": 2, "rationale": "model"}
+    assert K.task_priors(prompt, lambda p: "no")["rationale"] == "fallback"
+    assert K.artifact_header("shop", "2000-01-01")["global_cutoff_time"] == "2000-01-01"
