@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, ship_package
-from .shingles import WordHashes, lean, mix, word_hashes
+from .shingles import WordHashes, give_back, lean, mix, word_hashes
 
 #: Keys a block aims at, tokens a chunk aims at, and the largest broadcast.
 BLOCK_KEYS, CHUNK_TOKENS, BROADCAST_BYTES = 1_000_000, 1_000_000, 192 << 20
@@ -202,7 +202,11 @@ _SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score do
 
 def _by_broadcast(docs: DataFrame, tables: DataFrame, bits: int, stats: tuple[int, int, int]) -> DataFrame:
     rows = [(r["kind"], r["block"], bytes(r["data"]), bytes(r["more"])) for r in tables.select("kind", "block", "data", "more").toLocalIterator()]
-    sent = docs.sparkSession.sparkContext.broadcast(Tables(rows, bits))
+    flat = Tables(rows, bits)
+    del rows  # the blocks are copied: only one of the two is held while it is sent
+    sent = docs.sparkSession.sparkContext.broadcast(flat)
+    del flat
+    give_back()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables_, memo = sent.value, WordHashes()
