@@ -111,6 +111,46 @@ def signature(c: Column, kind: str) -> Column:
     return c.cast("string")
 
 
+def outer_call(expr: str) -> tuple[str, str] | None:
+    """(function, argument) where one call spans the whole expression, else None."""
+    call = re.fullmatch(r"([A-Za-z_]\w*)\s*\((.*)\)", expr.strip(), re.DOTALL)
+    if not call:
+        return None
+    open_now = 0
+    for sign in re.findall(r"[()]", call[2]):
+        open_now += 1 if sign == "(" else -1
+        if open_now < 0:
+            return None
+    return None if open_now else (call[1], call[2].strip())
+
+
+def parse_feature(name: str, root: str, tables: set[str]) -> tuple[tuple[str, ...], str]:
+    """(tables from the root on, description) of a feature name such as ``root.SUM(child.col)``.
+
+    A leading ``root.`` (or another plain name and a dot) is no part of the
+    expression.  Only names in ``tables`` count as tables, each once.  A bare
+    table as argument stands for its rows; what is left is the column.
+    """
+    head, dot, tail = name.strip().partition(".")
+    rest = tail if dot and "(" not in head else name.strip()
+    path, calls, within = [root], "", ""
+    while True:
+        if call := outer_call(rest):
+            calls, rest = calls + f"{call[0].lower()} of ", call[1]
+        elif (split := rest.partition("."))[0] in tables and split[1]:
+            path.append(split[0])
+            within, rest = f" within {split[0]}{within}", split[2].strip()
+        else:
+            break
+    path += [p for p in rest.split(".")[:-1] if p in tables]
+    if rest in tables:
+        path += [rest] if calls else []
+        leaf = f"rows in {rest}"
+    else:
+        leaf = rest.replace("_", " ") or "feature"
+    return tuple(dict.fromkeys(path)), calls + leaf + within
+
+
 def first_number(c: Column, default: float = 0.0) -> Column:
     """First number in a text, or the default."""
     return F.coalesce(F.regexp_extract(c, r"[-+]?[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?", 0).try_cast("double"), F.lit(default))

@@ -33,6 +33,12 @@ def most_recent(joined: DataFrame, k: int, tie: str) -> DataFrame:
     return joined.withColumn("rank", rn).filter(F.col("rank") <= k)
 
 
+def listing(history: DataFrame, entity: str, tie: str, limit: int = 10) -> DataFrame:
+    """The first ``limit`` rows of each entity in time order, as (entity, tie, ts) with ``position`` from 1."""
+    rn = F.row_number().over(Window.partitionBy(entity).orderBy("ts", tie))
+    return history.select(entity, tie, "ts").withColumn("position", rn).filter(F.col("position") <= limit)
+
+
 def random_prior(joined: DataFrame, k: int, tie: str, seed: int = 42) -> DataFrame:
     """k rows of each request without replacement, in an order fixed by the seed; ``rank`` follows time."""
     order = F.xxhash64(F.lit(seed), F.col("request_id"), F.col(tie))

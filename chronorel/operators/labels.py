@@ -68,6 +68,15 @@ def labels_of_requests(requests: DataFrame, labels: DataFrame, entity: str) -> D
     return requests.join(labels, entity).filter(F.col("ts") < F.col("cutoff"))
 
 
+def label_lookup(asked: DataFrame, build: Callable[[DataFrame], DataFrame], entity: str) -> DataFrame:
+    """``asked`` (entity, ts, more) with the labels of exactly that entity and time.
+
+    ``build`` makes the labels of a spine; it gets the distinct times that are
+    asked for, so no other time is computed.  Pairs without a label are absent.
+    """
+    return asked.join(build(asked.select("ts").filter("ts is not null").distinct()), [entity, "ts"])
+
+
 def prune_spine(spine: DataFrame, requests: DataFrame) -> DataFrame:
     """Spine times before the latest cutoff of any request."""
     return spine.join(requests.agg(F.max("cutoff").alias("_max")), F.col("ts") < F.col("_max")).drop("_max")

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import cell_text, first_number
+from ..functions.text import cell_text, first_number, parse_feature
 from ..session import ship_package
 
 #: A predictor gets texts and returns as many texts.
@@ -46,12 +46,18 @@ def rank_feature_names(names: list[str], task_tokens: list[str], hints: dict[str
     return sorted(names, key=lambda n: (-score(n), n))[:most]
 
 
-def meta_path_lines(values: dict[str, float], most_paths: int = 6, most_features: int = 4) -> list[str]:
-    """Features grouped by the tables in their names, shortest first; what is cut is counted."""
+def meta_path_lines(values: dict[str, float], most_paths: int = 6, most_features: int = 4, root: str | None = None, tables: set[str] | None = None) -> list[str]:
+    """Features grouped by the tables in their names, shortest first; what is cut is counted.
+
+    With a root and the table names, names are parsed and features described.
+    """
     groups: dict[str, list[str]] = {}
     for name in sorted(values):
-        tables = [p.split(".")[0] for p in name.replace(")", "").split("(")]
-        groups.setdefault(" > ".join(dict.fromkeys(tables)), []).append(f"{name}={values[name]:.4g}")
+        if root and tables:
+            path, said = parse_feature(name, root, tables)
+        else:
+            path, said = tuple(dict.fromkeys(p.split(".")[0] for p in name.replace(")", "").split("("))), name
+        groups.setdefault(" > ".join(path), []).append(f"{said}={values[name]:.4g}")
     lines = []
     for path in sorted(groups, key=lambda g: (g.count(">"), g))[:most_paths]:
         shown = groups[path][:most_features]

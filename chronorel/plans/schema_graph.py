@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..catalog import Catalog
+from ..catalog import Catalog, TableDef
 from ..functions.text import LEAKAGE, table_role
 from ..operators.profiling import fk_overlap
 
@@ -20,6 +21,11 @@ RECOMMENDED, REVERSE_FACTOR, REVERSE_RECOMMENDED, MIN_EDGE = 0.55, 0.92, 0.65, 0
 ONE_SIDED_TIME = 0.8
 
 
+#: Roles and further keys may come from functions of the caller.
+RoleOf = Callable[[str, TableDef], str]
+InferKeys = Callable[[Catalog], DataFrame]
+
+
 def declared_confidence(overlap: Column) -> Column:
     """Confidence of a declared key from how many child values its parent has."""
     return F.when(overlap >= 0.98, "high").when(overlap >= 0.9, "medium").otherwise("low")
@@ -43,8 +49,8 @@ def affinity(a: Column, b: Column) -> Column:
     )
 
 
-def table_roles(c: Catalog) -> dict[str, str]:
-    return {n: table_role(n, bool(t.time_col), len(t.fks)) for n, t in c.tables.items()}
+def table_roles(c: Catalog, role_of: RoleOf | None = None) -> dict[str, str]:
+    return {n: role_of(n, t) if role_of else table_role(n, bool(t.time_col), len(t.fks)) for n, t in c.tables.items()}
 
 
 def on_driver(df: DataFrame) -> DataFrame:
@@ -52,9 +58,13 @@ def on_driver(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(df.collect(), df.schema)
 
 
-def declared_keys(c: Catalog) -> DataFrame:
-    """(child, column, parent, parent_column, overlap, uniqueness, roles, times, source, confidence) of declared keys."""
-    roles, parts = table_roles(c), []
+def declared_keys(c: Catalog, role_of: RoleOf | None = None, infer: InferKeys | None = None) -> DataFrame:
+    """(child, column, parent, parent_column, overlap, uniqueness, roles, times, source, confidence) of declared keys.
+
+    ``role_of`` replaces the role rule; ``infer`` adds keys (child, column,
+    parent, parent_column, overlap, uniqueness, confidence) that are not declared.
+    """
+    roles, parts = table_roles(c, role_of), []
     for n, t in c.tables.items():
         for k, p in t.fks.items():
             parent = c.tables[p]
@@ -63,7 +73,14 @@ def declared_keys(c: Catalog) -> DataFrame:
                 F.lit(roles[n]).alias("child_role"), F.lit(roles[p]).alias("parent_role"), F.lit(bool(t.time_col) != bool(parent.time_col)).alias("one_sided"), F.lit("declared").alias("source"),
             )
             parts.append(row)
-    return on_driver(reduce(DataFrame.unionByName, parts).withColumn("confidence", declared_confidence(F.col("overlap"))))
+    declared = reduce(DataFrame.unionByName, parts).withColumn("confidence", declared_confidence(F.col("overlap")))
+    if infer:
+        of = F.create_map(*[F.lit(x) for pair in roles.items() for x in pair])
+        timed = F.array(*[F.lit(n) for n, t in c.tables.items() if t.time_col])
+        found = infer(c).select("child", "column", "parent", "parent_column", "overlap", "uniqueness", "confidence")
+        found = found.withColumn("child_role", of[F.col("child")]).withColumn("parent_role", of[F.col("parent")])
+        declared = with_inferred(declared, found.withColumn("one_sided", F.array_contains(timed, F.col("child")) != F.array_contains(timed, F.col("parent"))))
+    return on_driver(declared)
 
 
 def with_inferred(declared: DataFrame, inferred: DataFrame) -> DataFrame:
@@ -95,8 +112,20 @@ def weighted_edges(keys: DataFrame) -> DataFrame:
     return edge("child", "column", "parent", "parent_column", "child_to_parent", w, rec).unionByName(edge("parent", "parent_column", "child", "column", "parent_to_child", w * REVERSE_FACTOR, rec & (w >= REVERSE_RECOMMENDED)))
 
 
+def ranked_edges(edges: DataFrame) -> DataFrame:
+    """Edges with their position: heaviest, then recommended, then by id."""
+    return edges.withColumn("position", F.row_number().over(Window.orderBy(F.desc("weight"), F.desc("recommended"), "edge_id")))  # a few edges of the schema
+
+
+def ranked_tables(edges: DataFrame, rows: dict[str, int]) -> DataFrame:
+    """Tables with their degrees, row count and position: hubs, then larger tables, then by name."""
+    of = F.create_map(*[F.lit(x) for pair in rows.items() for x in pair])
+    scored = hub_scores(edges).withColumn("num_rows", of[F.col("table")].cast("long"))
+    return scored.withColumn("position", F.row_number().over(Window.orderBy(F.desc("hub_score"), F.desc("num_rows"), "table")))  # a row per table
+
+
 def hub_scores(edges: DataFrame) -> DataFrame:
-    """In-, out-degree and their sum per table, hubs first."""
+    """In-, out-degree and their sum per table, in no order (see ``ranked_tables``)."""
     both = edges.select(F.col("src_table").alias("table"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(edges.select(F.col("dst_table").alias("table"), F.lit(0).alias("o"), F.lit(1).alias("i")))
     return both.groupBy("table").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree")).withColumn("hub_score", F.col("in_degree") + F.col("out_degree"))
 

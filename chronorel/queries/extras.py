@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import Catalog
 from ..functions import text as X
+from ..operators import history as H
 from ..operators import labels as L
 from ..operators import predict as Z
 from ..operators import profiling as P
@@ -14,7 +15,7 @@ from ..operators import similarity as M
 from ..plans import paths as A
 from ..plans import schema_graph as S
 from .base import Registry
-from .planning import _ANCHORED, _FINAL, _OUT, _POINT_SQL, _TASK, anchored, columns, final_scored
+from .planning import _ANCHORED, _EDGE, _FINAL, _FK, _OUT, _POINT_SQL, _TASK, anchored, columns, final_scored
 from .temporal import CUTOFF, HORIZON, MONTHS, ORDERS, REQUESTS, months, orders_history, requests
 
 R = Registry()
@@ -162,3 +163,39 @@ def time_and_math(c: Catalog) -> DataFrame:
 @R.add("SELECT p_partkey, p_size::VARCHAR AS size_text, CASE WHEN length(p_name) > 80 THEN left(p_name, 79) || '…' ELSE p_name END AS name_text FROM part")
 def cell_texts(c: Catalog) -> DataFrame:
     return c.df("part").select("p_partkey", X.cell_text(F.col("p_size"), "int").alias("size_text"), X.cell_text(F.col("p_name"), "string").alias("name_text"))
+
+
+@R.add(
+    f"""WITH asked AS (SELECT DISTINCT o_custkey, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS ts FROM orders WHERE o_orderdate < TIMESTAMP '{CUTOFF}')
+    SELECT a.o_custkey, a.ts, CAST(coalesce(sum(CAST(o_totalprice AS DECIMAL(18,2))), 0) AS DOUBLE) AS label
+    FROM asked a JOIN orders o ON o.o_custkey = a.o_custkey AND o_orderdate > a.ts AND o_orderdate <= a.ts + INTERVAL {HORIZON} DAY GROUP BY ALL"""
+)
+def label_lookup(c: Catalog) -> DataFrame:
+    """Labels of the (entity, time) pairs asked for: the month starts of a customer's orders."""
+    orders = c.df("orders")
+    asked = orders.filter(F.col("o_orderdate") < F.lit(CUTOFF).cast("timestamp_ntz")).select("o_custkey", F.date_trunc("month", "o_orderdate").cast("timestamp_ntz").alias("ts")).distinct()
+    return L.label_lookup(asked, lambda spine: L.labels_for("shop", "item-ltv", spine, orders, "o_custkey", "o_orderdate", "o_totalprice", HORIZON), "o_custkey")
+
+
+@R.add("SELECT o_custkey AS entity, o_orderkey AS id, o_orderdate AS ts, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS position FROM orders QUALIFY position <= 10")
+def history_listing(c: Catalog) -> DataFrame:
+    """A debug listing: the ten oldest rows of each entity's history."""
+    return H.listing(orders_history(c), "entity", "id", 10)
+
+
+@R.add(f"WITH {_EDGE} SELECT edge_id, weight, row_number() OVER (ORDER BY weight DESC, recommended DESC, edge_id) AS position FROM edges")
+def schema_edges_ranked(c: Catalog) -> DataFrame:
+    return S.ranked_edges(S.weighted_edges(S.declared_keys(c))).select("edge_id", "weight", "position")
+
+
+_TABLES = sorted({t for k in _FK for t in (k[0], k[2])})
+_COUNTED = "counted AS (" + " UNION ALL ".join(f"SELECT '{t}' AS t, count(*) AS num_rows FROM {t}" for t in _TABLES) + ")"
+
+
+@R.add(
+    f"""WITH {_EDGE}, {_COUNTED}, h AS (SELECT t AS "table", num_rows, (SELECT count(*) FROM edges WHERE src_table = t) + (SELECT count(*) FROM edges WHERE dst_table = t) AS hub_score FROM counted)
+    SELECT *, row_number() OVER (ORDER BY hub_score DESC, num_rows DESC, "table") AS position FROM h WHERE hub_score > 0"""
+)
+def schema_tables_ranked(c: Catalog) -> DataFrame:
+    rows = {r["table_name"]: r["num_rows"] for r in c.table_info().collect()}  # a row per table
+    return S.ranked_tables(S.weighted_edges(S.declared_keys(c)), rows).select("table", "num_rows", "hub_score", "position")

@@ -195,6 +195,14 @@ def test_texts(spark):
     assert X.task_tokens("predict the next orders of a customer, using bus 12 lines") == ["orders", "order", "customer", "bus", "lines", "lin", "line"]
     assert X.find_json('say {"a": 1} and {"a": {"b": 2}} {') == {"a": {"b": 2}}
     assert X.find_json("none {") is None
+    known = {"orders", "lineitem", "customer"}
+    assert X.parse_feature("customer.c_acctbal", "customer", known) == (("customer",), "c acctbal")
+    assert X.parse_feature("customer.COUNT(orders)", "customer", known) == (("customer", "orders"), "count of rows in orders")
+    assert X.parse_feature("customer.SUM(orders.MEAN(lineitem.l_qty))", "customer", known) == (("customer", "orders", "lineitem"), "sum of mean of l qty within lineitem within orders")
+    assert X.parse_feature("customer.orders.lineitem.l_qty", "customer", known) == (("customer", "orders", "lineitem"), "l qty within lineitem within orders")
+    assert X.parse_feature("customer.DIFF(SUM(a) (b)", "customer", known)[1] == "DIFF(SUM(a) (b)"
+    assert X.parse_feature("customer.", "customer", known) == (("customer",), "feature")
+    assert Z.meta_path_lines({"customer.MEAN(orders.o_x)": 2.0}, root="customer", tables=known) == ["customer > orders: mean of o x within orders=2"]
     assert X.json_safe({("a", 1): float("nan"), "t": dt.date(2020, 1, 2)}) == {"a|1": None, "t": "2020-01-02"}
     assert X.quote("a`b") == "`a``b`"
     values = [(3.0,), (1234567.5,), (0.00012,), (2.5,), (None,), (float("nan"),)]

@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from chronorel.catalog import open_catalog
 from chronorel.plans import paths as A
 from chronorel.plans import schema_graph as S
 from chronorel.plans import task_spec as K
@@ -50,6 +51,20 @@ def test_affinity_and_inferred_edges(spark):
     assert sorted((r["column"], r["source"]) for r in both.collect()) == [("x", "declared"), ("z", "inferred")]
 
 
+def test_roles_and_keys_from_the_caller(spark):
+    c = open_catalog(spark, "/root/testdata/sf0.001")
+    plain = S.declared_keys(c).count()
+
+    def infer(catalog):
+        row = "child string, `column` string, parent string, parent_column string, overlap double, uniqueness double, confidence string"
+        return spark.createDataFrame([("part", "p_size", "nation", "n_nationkey", 0.5, 0.1, "low"), ("orders", "o_custkey", "customer", "c_custkey", 1.0, 1.0, "high")], row)
+
+    keys = S.declared_keys(c, role_of=lambda name, t: "event" if t.time_col else "entity", infer=infer)
+    assert keys.count() == plain + 1 and {r["child_role"] for r in keys.filter("child = 'orders'").collect()} == {"event"}
+    new = keys.filter("source = 'inferred'").first()
+    assert (new["child_role"], new["parent_role"], new["one_sided"]) == ("entity", "entity", False)
+
+
 def test_roles_and_measures(spark):
     c = spark.createDataFrame([("t", "a", "measure", 0.0), ("t", "b", "measure", 0.5), ("t", "target_x", "measure", 0.0), ("t", "k", "primary_key", 0.0)], "`table` string, `column` string, role string, missing_ratio double")
     assert S.trusted_measures(c).first()["measures"] == ["a"]
