@@ -67,19 +67,59 @@ def missingness(df: DataFrame, table: str) -> DataFrame:
 
 QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
 
+#: Ranges into which the counted values of a key are dealt (a power of two).
+RANGES = 256
+
+
+def rows_before(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds to counted values (keys, v, n) the rows ``before`` each value and the key's ``total``.
+
+    A running sum over all values of a key would sort them in one task.  The
+    values are dealt into ranges by approximate quantiles instead (found by a
+    binary search, unrolled into codegen); a range is summed in a task of its own
+    and starts where the ranges before it end.  Both broadcasts hold at most
+    RANGES rows or numbers a key.
+    """
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx("v", [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("_cuts"))
+    dealt, half = counts.join(F.broadcast(cuts), keys).withColumn("_range", F.lit(0)), RANGES // 2
+    while half:
+        dealt, half = dealt.withColumn("_range", F.col("_range") + F.when(F.col("_cuts")[F.col("_range") + half - 1] < F.col("v"), half).otherwise(0)), half // 2
+    dealt = dealt.drop("_cuts")
+    key = Window.partitionBy(*keys)
+    sums = dealt.groupBy(*keys, "_range").agg(F.sum("n").alias("_in"))
+    starts = sums.select(*keys, "_range", (F.sum("_in").over(key.orderBy("_range")) - F.col("_in")).alias("_start"), F.sum("_in").over(key).alias("total"))
+    inside = F.sum("n").over(Window.partitionBy(*keys, "_range").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    return dealt.withColumn("_inside", inside).join(F.broadcast(starts), [*keys, "_range"]).withColumn("before", F.col("_start") + F.col("_inside")).drop("_range", "_start", "_inside")
+
+
+def quantiles(df: DataFrame, columns: list[str], shares: tuple[float, ...]) -> DataFrame:
+    """(column, q): exact interpolated quantiles, from counted values; columns without values have no row."""
+    counts = unpivot(df, columns, "double").filter("value is not null").groupBy("column", F.col("value").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    placed = rows_before(counts, ["column"])
+    parts = []
+    for i, share in enumerate(shares):
+        at = F.lit(float(share)) * (F.col("total") - 1)
+        for name, place in ((f"lo{i}", F.floor(at)), (f"hi{i}", F.ceil(at))):
+            parts.append(F.max(F.when((F.col("before") <= place) & (place < F.col("before") + F.col("n")), F.col("v"))).alias(name))
+    found = placed.groupBy("column").agg(F.max("total").alias("total"), *parts)
+
+    def between(i: int, share: float) -> Column:
+        lo, hi, at = F.col(f"lo{i}"), F.col(f"hi{i}"), F.lit(float(share)) * (F.col("total") - 1)
+        return F.when(lo == hi, lo).otherwise(lo + (at - F.floor(at)) * (hi - lo))
+
+    return found.select("column", F.array(*[between(i, share) for i, share in enumerate(shares)]).alias("q"))
+
 
 def numeric_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Per numeric column: n, min, max, mean, std (0 for one value), median and quantiles (interpolated)."""
+    columns = columns or numeric_columns(df)
     aggs = []
-    for c in columns or numeric_columns(df):
+    for c in columns:
         v = _value(df, c).cast("double")
-        aggs.append(
-            F.struct(
-                F.lit(c).alias("column"), F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"),
-                F.when(F.count(v) == 1, 0.0).otherwise(F.stddev_samp(v)).alias("std"), F.percentile(v, F.array(*[F.lit(q) for q in QUANTILES])).alias("q"),
-            )
-        )
-    rows = df.agg(F.array(*aggs).alias("_")).select(F.explode("_").alias("_")).select("_.*")
+        std = F.when(F.count(v) == 1, 0.0).otherwise(F.stddev_samp(v)).alias("std")
+        aggs.append(F.struct(F.lit(c).alias("column"), F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), std))
+    moments = df.agg(F.array(*aggs).alias("_")).select(F.explode("_").alias("_")).select("_.*")
+    rows = moments.join(F.broadcast(quantiles(df, columns, QUANTILES)), "column", "left")  # a row per column
     return rows.select("column", "n", "min", "max", "mean", "std", *[F.col("q")[i].alias(f"p{int(q * 100)}") for i, q in enumerate(QUANTILES)])
 
 
@@ -103,8 +143,13 @@ def top_values(df: DataFrame, columns: list[str] | None = None, k: int = 20) ->
 def modes(df: DataFrame, columns: list[str]) -> DataFrame:
     """Per column its most frequent value as text; the smallest of ties; null for an all-missing column."""
     kinds = dict(df.dtypes)
-    aggs = [F.struct(F.lit(c).alias("column"), F.mode(_value(df, c), True).cast("string" if kinds[c] == "string" else "double").cast("string").alias("mode")) for c in columns]
-    return df.agg(F.array(*aggs).alias("_")).select(F.explode("_").alias("_")).select("_.*")
+    text = lambda c: _value(df, c) if kinds[c] == "string" else F.lit(None).cast("string")
+    number = lambda c: F.lit(None).cast("double") if kinds[c] == "string" else _value(df, c).cast("double")
+    cells = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), text(c).alias("s"), number(c).alias("d")) for c in columns])).alias("_")).select("_.*")
+    counts = cells.groupBy("column", "s", "d").agg(F.count(F.lit(1)).alias("n"))
+    present = F.col("s").isNotNull() | F.col("d").isNotNull()
+    best = counts.groupBy("column").agg(F.min(F.when(present, F.struct((-F.col("n")).alias("n"), "d", "s"))).alias("best"))
+    return best.select("column", F.coalesce("best.s", F.col("best.d").cast("string")).alias("mode"))
 
 
 def monthly_coverage(df: DataFrame, time_col: str) -> DataFrame:
@@ -129,17 +174,23 @@ def stable_sample(df: DataFrame, key: list[str], threshold: int, size: int, seed
 # correlations
 
 
-def average_rank(value: str, by: list[str]) -> Column:
-    """Rank within groups, ties averaged."""
-    return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, value)) - 1) / 2.0
-
-
 def spearman(df: DataFrame, columns: list[str], min_rows: int = 30) -> DataFrame:
-    """(a, b, score, n) for column pairs over rows where both are present; ranks are per pair."""
+    """(a, b, score, n) for column pairs over rows where both are present; null for a constant column.
+
+    Ranks are per pair, ties averaged.  Rows are counted by (x, y) first; ranks
+    come from the counted values of each side and are measured from their mean,
+    so that the sums keep their digits at any row count.
+    """
     pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), _value(df, a).cast("double").alias("x"), _value(df, b).cast("double").alias("y")) for a, b in combinations(columns, 2)]
-    rows = df.select(F.explode(F.array(*pairs)).alias("_")).select("_.*").filter("x is not null and y is not null")
-    ranked = rows.select("a", "b", average_rank("x", ["a", "b"]).alias("rx"), average_rank("y", ["a", "b"]).alias("ry"))
-    return ranked.groupBy("a", "b").agg(F.corr("rx", "ry").alias("score"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_rows)
+    cells = df.select(F.explode(F.array(*pairs)).alias("_")).select("_.*").filter("x is not null and y is not null").groupBy("a", "b", "x", "y").agg(F.count(F.lit(1)).alias("o"))
+    sides = F.array(*[F.struct(F.lit(side).alias("side"), F.col(side).alias("v")) for side in ("x", "y")])
+    counts = cells.select("a", "b", "o", F.explode(sides).alias("_")).groupBy("a", "b", "_.side", "_.v").agg(F.sum("o").alias("n"))
+    ranks = rows_before(counts, ["a", "b", "side"]).withColumn("r", F.col("before") + (F.col("n") - F.col("total")) / 2.0)
+    of = lambda side: ranks.filter(F.col("side") == side).select("a", "b", F.col("v").alias(side), F.col("r").alias(f"r{side}"))
+    total = lambda c: F.sum(F.col("o") * c)
+    placed = cells.join(of("x"), ["a", "b", "x"]).join(of("y"), ["a", "b", "y"])
+    sums = placed.groupBy("a", "b").agg(total(F.col("rx") * F.col("ry")).alias("xy"), total(F.col("rx") * F.col("rx")).alias("xx"), total(F.col("ry") * F.col("ry")).alias("yy"), F.sum("o").alias("n"))
+    return sums.filter(F.col("n") >= min_rows).select("a", "b", F.try_divide("xy", F.sqrt("xx") * F.sqrt("yy")).alias("score"), "n")
 
 
 def cramers_v(df: DataFrame, columns: list[str], min_rows: int = 50, max_levels: int = 200) -> DataFrame:

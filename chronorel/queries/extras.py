@@ -15,7 +15,7 @@ from ..operators import similarity as M
 from ..plans import paths as A
 from ..plans import schema_graph as S
 from .base import Registry
-from .planning import _ANCHORED, _EDGE, _FINAL, _FK, _OUT, _POINT_SQL, _TASK, anchored, columns, final_scored
+from .planning import _ANCHORED, _EDGE, _FINAL, _FK, _POINTS, _SHOP, anchored, columns, columns_sql, final_scored, scored_columns
 from .temporal import CUTOFF, HORIZON, MONTHS, ORDERS, REQUESTS, months, orders_history, requests
 
 R = Registry()
@@ -64,38 +64,44 @@ def column_prior_profile(c: Catalog) -> DataFrame:
     return top.join(F.broadcast(s), F.lit(True))  # one row of statistics
 
 
-_ROLES = [("orders", "o_orderkey", "primary_key"), ("orders", "o_custkey", "foreign_key"), ("orders", "o_orderstatus", "category"), ("orders", "o_totalprice", "measure"), ("orders", "o_orderdate", "timestamp"), ("orders", "o_orderpriority", "category"), ("customer", "c_custkey", "primary_key"), ("customer", "c_name", "text"), ("customer", "c_nationkey", "foreign_key"), ("customer", "c_acctbal", "measure"), ("customer", "c_mktsegment", "category")]
+_FACTS = columns_sql(["orders", "customer"])
+_FILLED = """filled AS (SELECT 'orders' AS "table", "column", non_null, (SELECT count(*) FROM orders) AS n FROM (UNPIVOT (SELECT count(COLUMNS(*)) FROM orders) ON COLUMNS(*) INTO NAME "column" VALUE non_null)
+    UNION ALL SELECT 'customer', "column", non_null, (SELECT count(*) FROM customer) FROM (UNPIVOT (SELECT count(COLUMNS(*)) FROM customer) ON COLUMNS(*) INTO NAME "column" VALUE non_null))"""
 
 
-@R.add("SELECT t AS \"table\", role, count(*) AS n FROM (VALUES " + ", ".join(str(r) for r in _ROLES) + ") v(t, c, role) GROUP BY ALL")
+@R.add(f'WITH {_FACTS} SELECT "table", role, count(*) AS n FROM facts GROUP BY ALL')
 def role_histogram(c: Catalog) -> DataFrame:
     return S.role_histogram(columns(c, ["orders", "customer"])).select("table", F.explode("roles").alias("role", "n"))
 
 
-@R.add("SELECT * FROM (VALUES ('orders', ['o_totalprice']), ('customer', ['c_acctbal'])) v(\"table\", measures)")
+@R.add(f'WITH {_FACTS}, {_FILLED} SELECT "table", list("column" ORDER BY "column")[:20] AS measures FROM facts JOIN filled USING ("table", "column") WHERE role = \'measure\' AND NOT leaks AND 1 - non_null / n <= 0.25 GROUP BY "table"')
 def trusted_measures(c: Catalog) -> DataFrame:
     missing = P.missingness(c.df("orders"), "orders").unionByName(P.missingness(c.df("customer"), "customer"))
     return S.trusted_measures(columns(c, ["orders", "customer"]).join(missing, ["table", "column"]))
 
 
-@R.add(
-    "SELECT s.\"table\", s.\"column\", s.role, m.non_null FROM (VALUES " + ", ".join(str(r) for r in _ROLES[:6]) + """) s("table", "column", role)
-    FULL JOIN (SELECT * FROM (VALUES """ + ", ".join(f"('orders', '{x}')" for _, x, _ in _ROLES[1:6]) + """) v("table", "column"), (SELECT count(*) AS non_null FROM orders)) m ON m."table" = s."table" AND m."column" = s."column" """
-)
+@R.add(f"""WITH {_FACTS}, {_FILLED} SELECT "table", "column", role, non_null FROM (SELECT * FROM facts WHERE "table" = 'orders') FULL JOIN (SELECT * FROM filled WHERE "table" = 'orders' AND "column" <> 'o_orderkey') USING ("table", "column")""")
 def table_profiles_merged(c: Catalog) -> DataFrame:
     """Semantics and statistics of columns, either side may be missing."""
     stats = P.missingness(c.df("orders").drop("o_orderkey"), "orders").select("table", "column", "non_null")
     return columns(c, ["orders"]).select("table", "column", "role").join(stats, ["table", "column"], "full_outer")
 
 
-@R.add("SELECT * FROM (VALUES ('orders', CAST(1.65 AS DOUBLE)), ('customer', CAST(0.15 AS DOUBLE))) v(\"table\", score)")
+@R.add(
+    f"""WITH {_FACTS}, parts AS (SELECT *, len(list_intersect(['orders', 'totalprice'], regexp_split_to_array(lower("table"), '[^a-z0-9]+'))) AS named,
+      len(list_intersect(['orders', 'totalprice'], regexp_split_to_array(lower("column"), '[^a-z0-9]+'))) > 0 AS hit FROM facts)
+    SELECT "table", round(0.9::DOUBLE * least(max(named), 3) + 0.6::DOUBLE * least(count(*) FILTER (WHERE hit), 6) + 0.15::DOUBLE * least(count(*) FILTER (WHERE role = 'measure' AND NOT leaks), 10), 6) AS score FROM parts GROUP BY "table" """
+)
 def table_scores(c: Catalog) -> DataFrame:
     return A.table_scores(columns(c, ["orders", "customer"]), ["orders", "totalprice"])
 
 
-@R.add("SELECT * FROM (VALUES ('o_orderstatus', 'count,nunique,mode'), ('o_totalprice', 'mean,sum,std,max,last,delta'), ('o_orderkey', 'mean,std,min,max,sum'), ('o_custkey', 'mean,std,min,max,sum'), ('o_orderdate', 'mean,std,min,max,sum'), ('o_orderpriority', 'count,nunique,mode')) v(\"column\", aggs)")
+@R.add(
+    f"""WITH {columns_sql(_SHOP)} SELECT "table", "column", CASE WHEN role IN ('category', 'text') THEN 'count,nunique,mode' WHEN regexp_matches(lower("column"), 'position|rank|grid') THEN 'mean,std,min,max,last,delta'
+      WHEN regexp_matches(lower("column"), 'point|score|total') THEN 'mean,sum,std,max,last,delta' ELSE 'mean,std,min,max,sum' END AS aggs FROM facts"""
+)
 def suggested_aggregations(c: Catalog) -> DataFrame:
-    return columns(c, ["orders"]).select("column", F.array_join(A.suggested_aggs(F.col("column"), F.col("role")), ",").alias("aggs"))
+    return columns(c, _SHOP).select("table", "column", F.array_join(A.suggested_aggs(F.col("column"), F.col("role")), ",").alias("aggs"))
 
 
 @R.add(f"{_FINAL} SELECT array_to_string(edges, ';') AS path_id, final FROM f WHERE NOT (recommended AND depth <= 2) ORDER BY final DESC, path_id LIMIT 20")
@@ -118,9 +124,9 @@ def path_totals(c: Catalog) -> DataFrame:
     return anchored(c).agg(F.count(F.lit(1)).alias("n_paths"), F.max(F.size("tables")).alias("longest"))
 
 
-@R.add(f"SELECT \"column\", score FROM {_POINT_SQL} WHERE score > 0")
+@R.add(f'WITH {_POINTS} SELECT "table", "column", score FROM points WHERE score > 0 AND NOT leaks')
 def leakage_free_columns(c: Catalog) -> DataFrame:
-    return A.column_relevance(columns(c, ["orders"]), _TASK, _OUT).filter((F.col("score") > 0) & ~F.col("leaks")).select("column", "score")
+    return scored_columns(c).filter((F.col("score") > 0) & ~F.col("leaks")).select("table", "column", "score")
 
 
 @R.add("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm, len(list_filter(embedding, lambda x: x <> 0)) AS nonzero FROM embeddings")

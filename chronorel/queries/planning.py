@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..catalog import Catalog
+from ..catalog import DATASETS, Catalog
 from ..functions import text as X
 from ..operators import profiling as P
 from ..plans import paths as A
@@ -127,23 +127,44 @@ def columns(c: Catalog, tables: list[str]) -> DataFrame:
     return meta.select("table", "column", role.alias("role"), "numeric", X.leakage_name(F.col("column")).alias("leaks"))
 
 
-_POINTS = {"o_orderkey": 1 - 3 + 1.4 * 0, "o_custkey": 1 - 3, "o_orderstatus": 0.0, "o_totalprice": 2 + 1 + 4 + 1.4, "o_orderdate": -1.5, "o_orderpriority": 0.0}
-_POINT_SQL = "(VALUES " + ", ".join(f"('orders', '{k}', CAST({v} AS DOUBLE))" for k, v in _POINTS.items()) + ') t("table", "column", score)'
+_DECLARED = [(t.name, k, kind) for t in DATASETS["shop"] for k, kind in [*([(t.pk, "primary_key")] if t.pk else []), *((f, "foreign_key") for f in t.fks), *([(t.time_col, "timestamp")] if t.time_col else [])]]
 
 
-@R.add(f"SELECT * FROM {_POINT_SQL}")
+def columns_sql(tables: list[str]) -> str:
+    """SQL of ``facts``: (table, column, role, numeric, leaks) of tables, from the catalog's schema and the declared keys."""
+    named = ", ".join(f"'{t}'" for t in tables)
+    return f"""k(t, c, kind) AS (VALUES {", ".join(str(d) for d in _DECLARED)}),
+    i AS (SELECT DISTINCT table_name AS t, column_name AS c, lower(column_name) AS n, data_type IN ('TINYINT', 'SMALLINT', 'INTEGER', 'BIGINT', 'FLOAT', 'DOUBLE', 'BOOLEAN') AS num FROM information_schema.columns WHERE table_name IN ({named})),
+    facts AS (SELECT i.t AS "table", i.c AS "column", coalesce(min(CASE kind WHEN 'primary_key' THEN '1primary_key' WHEN 'foreign_key' THEN '2foreign_key' WHEN 'timestamp' THEN '3timestamp' END)[2:],
+      CASE WHEN n LIKE '%id' OR n LIKE '%key' THEN 'identifier' WHEN regexp_matches(n, 'status|type|segment|priority|flag|category|class') THEN 'category'
+        WHEN regexp_matches(n, 'name|title|comment|description|text') THEN 'text' WHEN num THEN 'measure' ELSE 'category' END) AS role,
+      num AS "numeric", regexp_matches(n, 'label|target|future|leak|outcome') AS leaks
+    FROM i LEFT JOIN k ON k.t = i.t AND k.c = i.c GROUP BY i.t, i.c, n, num)"""
+
+
+_SHOP = [t.name for t in DATASETS["shop"]]
+_POINTS = f"""{columns_sql(_SHOP)},
+    tok AS (SELECT *, list_filter(regexp_split_to_array(lower("table" || ' ' || "column"), '[^a-z0-9]+'), lambda w: length(w) >= 3) AS own FROM facts),
+    points AS (SELECT "table", "column", leaks, round(CASE WHEN role = 'measure' THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN "numeric" THEN 1.0 ELSE 0.0 END - CASE WHEN leaks THEN 4.0 ELSE 0.0 END
+      - CASE WHEN role IN ('identifier', 'primary_key', 'foreign_key') OR lower("column") LIKE '%id' THEN 3.0 ELSE 0.0 END - CASE WHEN role IN ('timestamp', 'text') THEN 1.5 ELSE 0.0 END
+      + CASE WHEN contains(lower("column"), '{_OUT}') THEN 4.0 ELSE 0.0 END + 1.4::DOUBLE * least(len(list_intersect(['order', 'value', 'totalprice'], own)), 4), 6) AS score FROM tok)"""
+
+
+def scored_columns(c: Catalog) -> DataFrame:
+    return A.column_relevance(columns(c, _SHOP), _TASK, _OUT)
+
+
+@R.add(f"WITH {_POINTS} SELECT \"table\", \"column\", score FROM points")
 def column_relevance(c: Catalog) -> DataFrame:
-    return A.column_relevance(columns(c, ["orders"]), _TASK, _OUT).select("table", "column", "score")
+    return scored_columns(c).select("table", "column", "score")
 
 
-@R.add(f"{_ANCHORED}, p AS (SELECT edges, unnest(tables) AS \"table\" FROM paths), ranked AS (SELECT array_to_string(edges, ';') AS path_id, \"column\", score, row_number() OVER (PARTITION BY edges ORDER BY score DESC, \"column\") AS rank FROM p JOIN {_POINT_SQL} USING (\"table\")) SELECT * FROM ranked WHERE rank <= 5")
+@R.add(f"{_ANCHORED}, {_POINTS}, p AS (SELECT edges, unnest(tables) AS \"table\" FROM paths), ranked AS (SELECT array_to_string(edges, ';') AS path_id, \"table\", \"column\", score, row_number() OVER (PARTITION BY edges ORDER BY score DESC, \"table\", \"column\") AS rank FROM p JOIN points USING (\"table\")) SELECT * FROM ranked WHERE rank <= 5")
 def attribute_plan(c: Catalog) -> DataFrame:
-    scores = A.column_relevance(columns(c, ["orders"]), _TASK, _OUT)
-    found = A.path_attributes(anchored(c).withColumn("path_id", F.array_join("edges", ";")), scores, 5)
-    return found.select("path_id", "column", "score", "rank")
+    found = A.path_attributes(anchored(c).withColumn("path_id", F.array_join("edges", ";")), scored_columns(c), 5)
+    return found.select("path_id", "table", "column", "score", "rank")
 
 
-@R.add(f"{_ANCHORED}, p AS (SELECT edges, unnest(tables) AS \"table\" FROM paths), s AS (SELECT \"table\", \"column\", round(sum(score), 4) AS score_sum, count(*) AS path_count FROM p JOIN {_POINT_SQL} USING (\"table\") GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY \"table\" ORDER BY score_sum DESC, path_count DESC, \"column\") AS rank FROM s")
+@R.add(f"{_ANCHORED}, {_POINTS}, p AS (SELECT edges, unnest(tables) AS \"table\" FROM paths), s AS (SELECT \"table\", \"column\", round(sum(score), 4) AS score_sum, count(*) AS path_count FROM p JOIN points USING (\"table\") GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY \"table\" ORDER BY score_sum DESC, path_count DESC, \"column\") AS rank FROM s QUALIFY rank <= 12")
 def attribute_importance(c: Catalog) -> DataFrame:
-    scores = A.column_relevance(columns(c, ["orders"]), _TASK, _OUT)
-    return A.attribute_importance(A.path_attributes(anchored(c).withColumn("path_id", F.array_join("edges", ";")), scores, 99))
+    return A.attribute_importance(A.path_attributes(anchored(c).withColumn("path_id", F.array_join("edges", ";")), scored_columns(c), 99))

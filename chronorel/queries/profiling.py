@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..catalog import DATASETS, Catalog
+from ..catalog import Catalog
 from ..functions import text as X
 from ..operators import profiling as P
 from .base import Registry
+from .planning import _DECLARED, _SHOP, columns_sql
 
 R = Registry()
 _ORDERS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
@@ -194,21 +195,10 @@ def numeric_feature_map(c: Catalog) -> DataFrame:
     return kept.select("event_id", F.size("m").alias("n_kept"), F.col("m")["a"].alias("a"), F.col("m")["b"].alias("b"))
 
 
-_COLS = [("orders", x) for x in _ORDERS] + [("labels", x) for x in ("doc_id", "quality", "toxic")] + [("embeddings", "label")]
-_DECLARED = [(t.name, k, kind) for t in DATASETS["shop"] for k, kind in [*([(t.pk, "primary_key")] if t.pk else []), *((f, "foreign_key") for f in t.fks), *([(t.time_col, "timestamp")] if t.time_col else [])]]
-_MORE = ("embeddings", "labels", "documents")  # tables without declared keys
-_NAMED = ", ".join(f"'{t}'" for t in [*(t.name for t in DATASETS["shop"]), *_MORE])
+_MORE = ["embeddings", "labels", "documents"]  # tables without declared keys
 
 
-@R.add(
-    f"""WITH k(t, c, kind) AS (VALUES {", ".join(str(d) for d in _DECLARED)}),
-    i AS (SELECT DISTINCT table_name AS t, column_name AS c, lower(column_name) AS n, data_type AS d FROM information_schema.columns WHERE table_name IN ({_NAMED}))
-    SELECT i.t AS "table", i.c AS "column", coalesce(min(CASE kind WHEN 'primary_key' THEN '1primary_key' WHEN 'foreign_key' THEN '2foreign_key' WHEN 'timestamp' THEN '3timestamp' END)[2:],
-      CASE WHEN n LIKE '%id' OR n LIKE '%key' THEN 'identifier' WHEN regexp_matches(n, 'status|type|segment|priority|flag|category|class') THEN 'category'
-        WHEN regexp_matches(n, 'name|title|comment|description|text') THEN 'text' WHEN d IN ('TINYINT', 'SMALLINT', 'INTEGER', 'BIGINT', 'FLOAT', 'DOUBLE') THEN 'measure' ELSE 'category' END) AS role,
-      regexp_matches(n, 'label|target|future|leak|outcome') AS leaks
-    FROM i LEFT JOIN k ON k.t = i.t AND k.c = i.c GROUP BY i.t, i.c, n, d"""
-)
+@R.add(f'WITH {columns_sql([*_SHOP, *_MORE])} SELECT "table", "column", role, leaks FROM facts')
 def column_roles(c: Catalog) -> DataFrame:
     kind = {(t, x): k for t, x, k in reversed(_DECLARED)}
     tables = [(t, c.df(t)) for t in c.tables] + [(t, c.spark.read.parquet(c.path(t))) for t in _MORE]

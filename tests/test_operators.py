@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,6 +186,25 @@ def test_perfect_association(spark):
     assert P.spearman(df, ["y", "x"]).count() == 1 and P.spearman(df.limit(10), ["y", "x"]).count() == 0
 
 
+def test_ranks_and_quantiles_by_ranges(spark):
+    rng = np.random.default_rng(5)
+    x = np.where(rng.random(3000) < 0.33, 7.0, np.round(np.exp(rng.normal(0, 9, 3000)), 3)) * rng.choice([-1, 1], 3000)  # a third in two values
+    y = np.where(rng.random(3000) < 0.1, np.nan, np.round(x / 10) + rng.integers(0, 3, 3000))
+    df = frame(spark, [(float(a), float(b), 1.0, None) for a, b in zip(x, y)], "x double, y double, one double, none double")
+    counts = df.groupBy("one", F.col("x").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    placed = {r["v"]: (r["before"], r["total"]) for r in P.rows_before(counts, ["one"]).collect()}
+    assert placed == {float(v): (int((x < v).sum()), 3000) for v in set(x)}
+    found = {r["column"]: r["q"] for r in P.quantiles(df, ["x", "y", "none"], P.QUANTILES).collect()}
+    assert sorted(found) == ["x", "y"]
+    assert found["x"] == pytest.approx(list(np.quantile(x, P.QUANTILES))) and found["y"] == pytest.approx(list(np.nanquantile(y, P.QUANTILES)))
+    by_pair = {(r["a"], r["b"]): (r["score"], r["n"]) for r in P.spearman(df, ["x", "y", "one"]).collect()}
+    both = pd.DataFrame({"x": x, "y": y}).dropna().rank()
+    assert by_pair["x", "y"][0] == pytest.approx(both["x"].corr(both["y"])) and by_pair["x", "y"][1] == len(both)
+    assert by_pair["x", "one"] == (None, 3000)
+    assert {r["column"]: r["mode"] for r in P.modes(df, ["one", "none"]).collect()} == {"one": "1.0", "none": None}
+    assert P.spearman(df.limit(0), ["x", "y"]).count() == 0 and P.quantiles(df.limit(0), ["x"], (0.5,)).count() == 0
+
+
 def test_key_names():
     assert P.name_fits("o_custkey", "customer", "c_custkey") and not P.name_fits("statusid", "status", "status_id")
     assert P.name_fits("rider_id", "riders", "id") and not P.name_fits("amount", "customer", "c_custkey")
