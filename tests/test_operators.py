@@ -17,6 +17,7 @@ from chronorel.operators import predict as Z
 from chronorel.operators import profiling as P
 from chronorel.operators import similarity as M
 from chronorel.operators import temporal as T
+from chronorel.plans import paths as A
 
 
 def day(n, base=dt.datetime(2020, 1, 1)):
@@ -205,6 +206,20 @@ def test_ranks_and_quantiles_by_ranges(spark):
     assert P.spearman(df.limit(0), ["x", "y"]).count() == 0 and P.quantiles(df.limit(0), ["x"], (0.5,)).count() == 0
 
 
+def test_points_of_columns_and_tables(spark):
+    names = ["label", "targetvalue", "Future_total", "leaky", "outcome", "amount", "rider_id", "note", "order_score", "at"]
+    roles = {"rider_id": "identifier", "note": "text", "at": "timestamp"}
+    rows = [("rides", n, roles.get(n, "measure"), n not in ("note", "at")) for n in names]
+    columns = frame(spark, rows, "`table` string, `column` string, role string, numeric boolean").withColumn("leaks", X.leakage_name(F.col("column")))
+    assert {r["column"] for r in columns.filter("leaks").collect()} == set(names[:5])
+    scores = {r["column"]: r["score"] for r in A.column_relevance(columns, "order totals", "score").collect()}
+    leaking = 2.0 + 1.0 - 4.0
+    assert scores == {**dict.fromkeys(names[:5], leaking), "amount": 3.0, "rider_id": 1.0 - 3.0, "note": -1.5, "at": -1.5, "order_score": 3.0 + 4.0 + 2 * 1.4}
+    assert A.table_scores(columns, ["rides", "score"]).first()["score"] == pytest.approx(0.9 + 0.6 + 2 * 0.15)
+    aggs = {r["column"]: r["a"] for r in columns.select("column", A.suggested_aggs(F.col("column"), F.col("role")).alias("a")).collect()}
+    assert aggs["note"] == ["count", "nunique", "mode"] and aggs["order_score"][-1] == "delta" and aggs["amount"][-1] == "sum"
+
+
 def test_key_names():
     assert P.name_fits("o_custkey", "customer", "c_custkey") and not P.name_fits("statusid", "status", "status_id")
     assert P.name_fits("rider_id", "riders", "id") and not P.name_fits("amount", "customer", "c_custkey")
