@@ -1,6 +1,8 @@
 """Small fixtures with known answers: boundaries, missing values, ties, cycles, leakage, determinism."""
 
 import datetime as dt
+import math
+import random
 
 import numpy as np
 import pandas as pd
@@ -13,6 +15,7 @@ from chronorel.operators import features as D
 from chronorel.operators import graph as G
 from chronorel.operators import history as H
 from chronorel.operators import labels as L
+from chronorel.operators import nearest as N
 from chronorel.operators import predict as Z
 from chronorel.operators import profiling as P
 from chronorel.operators import similarity as M
@@ -296,3 +299,43 @@ def test_results_do_not_depend_on_partitions(spark):
             spark.conf.set("spark.sql.shuffle.partitions", 4)
 
     assert run(1) == run(7)
+
+
+# searches by cells with bounds
+
+
+def _best_by_hand(rows, score, digits, k=3):
+    out = set()
+    for q in rows:
+        if q[0] is None or q[0] % 4:
+            continue
+        near = sorted((-round(s, digits), r[0]) for r in rows if r[0] not in (None, q[0]) and (s := score(q, r)) is not None)
+        out |= {(q[0], key, round(-s, digits), i + 1) for i, (s, key) in enumerate(near[:k])}
+    return out
+
+
+def _searched(df, digits):
+    assert "NestedLoop" not in df._jdf.queryExecution().toString() and "Cartesian" not in df._jdf.queryExecution().toString()
+    return {(r[0], r[1], round(r["score"], digits), r["rank"]) for r in df.collect()}
+
+
+@pytest.mark.parametrize("cell", [2, 1000])
+def test_static_search_meets_few_pairs_and_loses_none(spark, monkeypatch, cell):
+    monkeypatch.setattr(N, "CELL_ROWS", cell)
+    rnd = random.Random(4)
+    for d in (0, 1, 2):
+        rows = [(i, [rnd.choice([0.0, 1e-5, -3e-5, 0.25 * rnd.randint(-8, 8)]) for _ in range(d)], [rnd.choice(["p", "q", "r", ""]), rnd.choice("uv")]) for i in range(1, 301)]
+
+        def score(q, r):
+            norm = lambda v: math.sqrt(sum(a * a for a in v))
+            cos = min(max((sum(a * b for a, b in zip(q[1], r[1])) / (norm(q[1]) * norm(r[1]) + 1e-8) + 1) * 0.5, 0.0), 1.0) if norm(q[1]) > 0 else 0.0
+            cat = sum(a == b != "" for a, b in zip(q[2], r[2])) / sum(a != "" for a in q[2])
+            return 0.7 * cos + 0.3 * cat if q[1] else cat
+
+        df = spark.createDataFrame(rows, "key long, num array<double>, cat array<string>").withColumn("num_norm", M.norm("num"))
+        assert _searched(M.static_search(df.filter("key % 4 = 0"), df, "key", 3), 6) == _best_by_hand(rows, score, 6)
+
+
+def test_searches_of_empty_tables(spark):
+    df = spark.createDataFrame([], "key long, num array<double>, cat array<string>, f map<string,double>, s string")
+    assert M.static_search(df, df, "key", 3).count() == M.feature_search(df, df, "key", "f", 3).count() == M.similar_by_attributes(df, df, "key", ["s"], 3).count() == 0
