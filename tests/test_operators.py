@@ -319,6 +319,27 @@ def _searched(df, digits):
     return {(r[0], r[1], round(r["score"], digits), r["rank"]) for r in df.collect()}
 
 
+@pytest.mark.parametrize("cell", [2, 1000])
+def test_similar_attributes_meets_few_pairs_and_loses_none(spark, monkeypatch, cell):
+    monkeypatch.setattr(N, "CELL_ROWS", cell)
+    rnd = random.Random(3)
+    rows = [(i, rnd.choice(["a", "A ", "b", "c", "", None]), rnd.choice("xyz"), rnd.choice([None, True, False]), rnd.choice([None, -4, 0, 1, 2, 50])) for i in range(1, 301)] + [(301, None, None, None, None), (304, None, None, None, None), (None, "a", "x", True, 1)]
+
+    def score(q, r):
+        total, n = 0.0, 0
+        for i, w in ((1, 2.0), (2, 2.0), (3, 1.0)):
+            a, b = (v.strip().lower() if isinstance(v, str) else v for v in (q[i], r[i]))
+            if a is not None and b is not None:
+                n, total = n + 1, total + w * (a == b)
+        if q[4] is not None and r[4] is not None:
+            n, total = n + 1, total + max(0.0, 1 - abs(q[4] - r[4]) / max(abs(q[4]), abs(r[4]), 1.0))
+        return total if n else None
+
+    df = spark.createDataFrame(rows, "key int, s string, t string, f boolean, x int")
+    got = _searched(M.similar_by_attributes(df.filter("key % 4 = 0"), df, "key", ["s", "t", "f", "x"], 3), 9)
+    assert got == _best_by_hand(rows, score, 9)
+
+
 @pytest.mark.parametrize("cell", [2, 1000])
 def test_static_search_meets_few_pairs_and_loses_none(spark, monkeypatch, cell):
     monkeypatch.setattr(N, "CELL_ROWS", cell)
