@@ -357,6 +357,21 @@ def test_static_search_meets_few_pairs_and_loses_none(spark, monkeypatch, cell):
         assert _searched(M.static_search(df.filter("key % 4 = 0"), df, "key", 3), 6) == _best_by_hand(rows, score, 6)
 
 
+@pytest.mark.parametrize("cell", [2, 1000])
+def test_feature_search_meets_few_pairs_and_loses_none(spark, monkeypatch, cell):
+    monkeypatch.setattr(N, "CELL_ROWS", cell)
+    rnd = random.Random(5)
+    rows = [(i, {n: rnd.choice([0.0, -1.0, float(rnd.randint(1, 40)), 1e5 * rnd.random()]) for n in "abc" if rnd.random() < 0.7}) for i in range(1, 301)]
+
+    def score(q, r):
+        both = [n for n in q[1] if n in r[1]]
+        if both:
+            return 0.75 * math.exp(-sum(abs(r[1][n] - q[1][n]) / max(abs(q[1][n]), 1e-6) for n in both) / len(both)) + 0.25 * len(both) / len(q[1])
+
+    df = spark.createDataFrame(rows, "key long, f map<string,double>")
+    assert _searched(M.feature_search(df.filter("key % 4 = 0"), df, "key", "f", 3), 6) == _best_by_hand(rows, score, 6)
+
+
 def test_searches_of_empty_tables(spark):
     df = spark.createDataFrame([], "key long, num array<double>, cat array<string>, f map<string,double>, s string")
     assert M.static_search(df, df, "key", 3).count() == M.feature_search(df, df, "key", "f", 3).count() == M.similar_by_attributes(df, df, "key", ["s"], 3).count() == 0
