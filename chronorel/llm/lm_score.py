@@ -7,8 +7,9 @@ the pair with every level up to that one; a reader probes level after level
 until one is missing.  Word counts stay exact, since the base score needs them.
 
 Tables that fit ``broadcast_bytes`` are broadcast.  Larger ones stay where they
-are: documents are dealt into chunks of a bounded number of tokens, each
-chunk's distinct keys travel to their blocks and the answers travel back.  Both
+are: documents are brought together in chunks of a bounded number of tokens, each
+chunk's distinct keys travel to their blocks, once a chunk and block, and the
+answers (word counts, levels of pairs) travel back in the order of the keys.  Both
 ways read the same blocks, hence give the same scores.
 
 Model: ``p(w | v) = L * c(vw) / c(v) + (1 - L) * p(w)`` with
@@ -36,9 +37,11 @@ _END, _MUL = np.uint64(0x656E64), np.uint64(0x9E3779B97F4A7C15)
 _HALF, _THREE, _SEVEN = np.uint64(32), np.uint64(3), np.uint64(7)
 
 
-def _keys(text: str | None, memo: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of a text's tokens (its words, then the end) and of its pairs (the end also stands before the first word)."""
+def _keys(text: str | None, memo: WordHashes, kinds: int = 2) -> tuple[np.ndarray, ...]:
+    """Keys of a text's tokens (its words, then the end) and, of two kinds, of its pairs (the end also stands before the first word)."""
     uni = mix(np.append(word_hashes(text, memo), _END))
+    if kinds == 1:
+        return (uni,)
     before = np.append(mix(np.array([_END])), uni[:-1])
     return uni, mix(before * _MUL + uni)
 
@@ -54,9 +57,9 @@ def _packed(keys: np.ndarray, counts: np.ndarray, bits: int) -> Iterator[tuple[i
         yield 0, keys.tobytes(), counts.tobytes()
 
 
-def _counter(bits: int):
+def _counter(bits: int, kinds: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, held, n = WordHashes(), ([], []), 0
+        memo, held, n = WordHashes(), tuple([] for _ in range(kinds)), 0
 
         def flush() -> pa.RecordBatch:
             rows = []
@@ -68,7 +71,7 @@ def _counter(bits: int):
 
         for batch in batches:
             for t in batch.column(0):
-                for x, y in zip(held, _keys(t.as_py(), memo), strict=True):
+                for x, y in zip(held, _keys(t.as_py(), memo, kinds), strict=True):
                     x.append(y)
                 n += len(held[0][-1])
                 if n >= 2_000_000:
@@ -108,12 +111,16 @@ def level_count(q: int) -> float:
     return 1.0 if q == 1 else (BASE_LOG ** (q - 1) + BASE_LOG**q - 1) / 2
 
 
-def probe_filter(filt: np.ndarray, keys: np.ndarray, size: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Mean count of the highest level whose probes, and all below, succeed; 0 where level 1 fails.
+#: Mean counts by level; 0: absent.  No count of 64 bits has a higher level.
+LEVEL_COUNTS = np.array([0.0] + [level_count(q) for q in range(1, 128)])
+
+
+def probe_levels(filt: np.ndarray, keys: np.ndarray, size: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The highest level whose probes, and all below, succeed; 0 where level 1 fails.
 
     Each key has a filter of its own ``size`` bits from bit ``start`` of ``filt``.
     """
-    out, alive, q = np.zeros(len(keys)), np.flatnonzero(size), 1
+    out, alive, q = np.zeros(len(keys), np.uint8), np.flatnonzero(size), 1
     while len(alive):
         h, g = _hashed(keys[alive], q)
         n, at = size[alive], start[alive]
@@ -122,11 +129,18 @@ def probe_filter(filt: np.ndarray, keys: np.ndarray, size: np.ndarray, start: np
             hit = np.flatnonzero((filt[bit >> _THREE] >> (bit & _SEVEN).astype(np.uint8)) & np.uint8(1))
             if len(hit) < len(alive):  # most absent keys fail at once
                 alive, h, g, n, at = alive[hit], h[hit], g[hit], n[hit], at[hit]
-        out[alive] = level_count(q)
+        out[alive] = q
         q += 1
+        if q == len(LEVEL_COUNTS):  # a filter full of ones
+            break
     return out
 
 
+def probe_filter(filt: np.ndarray, keys: np.ndarray, size: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Mean counts of the levels that :func:`probe_levels` finds."""
+    return LEVEL_COUNTS[probe_levels(filt, keys, size, start)]
+
+
 def _block(key: tuple, group: pa.Table) -> pa.Table:
     """One block: exact sorted word counts, or the filter of its pairs."""
     kind, block = int(key[0].as_py()), int(key[1].as_py())
@@ -160,47 +174,49 @@ class Tables:
         self.starts = np.cumsum(self.sizes) - self.sizes
 
     def __call__(self, kind: int, keys: np.ndarray) -> np.ndarray:
+        """Counts of words as 64-bit integers, levels of pairs as bytes."""
         if not kind:
             if not len(self.known):
-                return np.zeros(len(keys))
+                return np.zeros(len(keys), np.int64)
             place = np.minimum(np.searchsorted(self.known, keys), len(self.known) - 1)
-            return np.where(self.known[place] == keys, self.counts[place], 0).astype(float)
+            return np.where(self.known[place] == keys, self.counts[place], 0).astype(np.int64)
         block = (keys >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
         place = np.searchsorted(self.blocks, block)
         place = np.where(np.append(self.blocks, -1)[place] == block, place, len(self.blocks))
-        return probe_filter(self.filter, keys, self.sizes[place], self.starts[place])
+        return probe_levels(self.filter, keys, self.sizes[place], self.starts[place])
 
 
-def _scored(ids, texts, ask, n: int, v: int, once: int, memo: WordHashes) -> pa.RecordBatch:
-    """Scores of a run of documents; ``ask(kind, keys)`` is asked once for each distinct key of the run."""
-    cut, uni, pair = [0], [], []
+def _scored(ids, texts, ask, n: int, v: int, once: int, kinds: int, memo: WordHashes) -> pa.RecordBatch:
+    """Scores of a run of documents; ``ask(kind, keys)`` is asked once for the sorted distinct keys of the run.  Of one kind: no model's score."""
+    cut, held = [0], tuple([] for _ in range(kinds))
     for t in texts:
-        a, b = _keys(t, memo)
-        uni.append(a)
-        pair.append(b)
-        cut.append(cut[-1] + len(a))
-    uni, pair, starts = np.concatenate(uni), np.concatenate(pair), np.asarray(cut[:-1])
-    u, at = np.unique(uni, return_inverse=True)
-    c = ask(0, u)[at]
-    w, wat = np.unique(pair, return_inverse=True)
-    cp = ask(1, w)[wat]
-    ends = ask(0, mix(np.array([_END])))[0]
-    context = np.append(0.0, c[:-1])
-    context[starts] = ends
-    base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
-    unknown = max(once, 0.5) / (n + 1)
-    p = np.where(c > 0, (1 - unknown) * c / max(n, 1), unknown)
-    seen = np.where(context > 0, np.minimum(cp, context) / np.maximum(context, 1), p)
-    model = np.log10(np.where(context > 0, INTERPOLATION * seen + (1 - INTERPOLATION) * p, p))
+        for x, y in zip(held, _keys(t, memo, kinds), strict=True):
+            x.append(y)
+        cut.append(cut[-1] + len(held[0][-1]))
+    uni, starts = np.concatenate(held[0]), np.asarray(cut[:-1])
     lengths = np.diff(np.asarray(cut))
     total = lambda x: np.add.reduceat(x, starts)
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lengths, pa.int64()), pa.array(total((c > 0).astype(np.int64)), pa.int64()), pa.array(total(base)), pa.array(total(model))], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+    u, at = np.unique(uni, return_inverse=True)
+    counts = ask(0, u).astype(float)
+    c = counts[at]
+    base = np.log10((counts + 0.1) / (n + 0.1 * (v + 1)))[at]
+    score = pa.nulls(len(ids), pa.float64())
+    if kinds == 2:
+        w, wat = np.unique(np.concatenate(held[1]), return_inverse=True)
+        cp = LEVEL_COUNTS[ask(1, w)][wat]
+        context = np.append(0.0, c[:-1])
+        context[starts] = counts[np.searchsorted(u, mix(np.array([_END])))]
+        unknown = max(once, 0.5) / (n + 1)
+        p = np.where(c > 0, (1 - unknown) * c / max(n, 1), unknown)
+        seen = np.where(context > 0, np.minimum(cp, context) / np.maximum(context, 1), p)
+        score = pa.array(total(np.log10(np.where(context > 0, INTERPOLATION * seen + (1 - INTERPOLATION) * p, p))))
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lengths, pa.int64()), pa.array(total((c > 0).astype(np.int64)), pa.int64()), pa.array(total(base)), score], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
 
 _SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
-def _by_broadcast(docs: DataFrame, tables: DataFrame, bits: int, stats: tuple[int, int, int]) -> DataFrame:
+def _by_broadcast(docs: DataFrame, tables: DataFrame, bits: int, stats: tuple[int, int, int, int]) -> DataFrame:
     rows = [(r["kind"], r["block"], bytes(r["data"]), bytes(r["more"])) for r in tables.select("kind", "block", "data", "more").toLocalIterator()]
     flat = Tables(rows, bits)
     del rows  # the blocks are copied: only one of the two is held while it is sent
@@ -225,67 +241,81 @@ def _by_broadcast(docs: DataFrame, tables: DataFrame, bits: int, stats: tuple[in
     return docs.mapInArrow(lean(run), _SCORES)
 
 
-def _by_chunks(docs: DataFrame, tables: DataFrame, bits: int, stats: tuple[int, int, int], chunks: int) -> DataFrame:
-    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(chunks)).cast("int"))
+def _by_chunks(docs: DataFrame, tables: DataFrame, bits: int, stats: tuple[int, int, int, int], chunks: int) -> DataFrame:
+    kinds = stats[3]
+    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(chunks)).cast("int")).repartition("chunk")
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
+        """The distinct keys of each chunk by block; the rows come sorted by chunk."""
+        memo, chunk, held = WordHashes(), None, tuple([] for _ in range(kinds))
+
+        def flush() -> pa.RecordBatch:
+            rows = []
+            for kind, keys in enumerate(held):
+                u = np.unique(np.concatenate(keys))
+                keys.clear()
+                rows += [(chunk, kind, b, k) for b, k, _ in _packed(u, np.zeros(len(u), np.uint8), bits)]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["chunk", "kind", "block", "keys"])
+
         for batch in batches:
-            by: dict[int, tuple[list, list]] = {}
-            for c, t in zip(batch.column(0), batch.column(1), strict=True):
-                for x, y in zip(by.setdefault(c.as_py(), ([mix(np.array([_END]))], [])), _keys(t.as_py(), memo), strict=True):
+            for c, t in zip(batch.column("chunk").to_pylist(), batch.column("text"), strict=True):
+                if c != chunk and held[0]:
+                    yield flush()
+                chunk = c
+                for x, y in zip(held, _keys(t.as_py(), memo, kinds), strict=True):
                     x.append(y)
-            rows = []
-            for c, both in by.items():
-                for kind, keys in enumerate(both):
-                    u = np.unique(np.concatenate(keys))
-                    rows += [(c, kind, b, k) for b, k, _ in _packed(u, np.zeros(len(u), np.uint32), bits)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["chunk", "kind", "block", "keys"])
+        if held[0]:
+            yield flush()
 
     def answer(key: tuple, asked: pa.Table, held: pa.Table) -> pa.Table:
-        kind = int(key[0].as_py())
-        held_block = Tables([(kind, int(key[1].as_py()), held.column("data")[i].as_py(), held.column("more")[i].as_py()) for i in range(held.num_rows)], bits)
-        values = [held_block(kind, np.frombuffer(k.as_py(), np.uint64)).astype(np.float64).tobytes() for k in asked.column("keys")]
-        return pa.table({"chunk": asked.column("chunk"), "kind": asked.column("kind"), "keys": asked.column("keys"), "vals": pa.array(values, pa.binary())})
+        kind, block = int(key[0].as_py()), int(key[1].as_py())
+        values: list[bytes] = []
+        if asked.num_rows:
+            held_block = Tables([(kind, block, held.column("data")[i].as_py(), held.column("more")[i].as_py()) for i in range(held.num_rows)], bits)
+            keys = [np.frombuffer(k.as_py(), np.uint64) for k in asked.column("keys")]
+            values = [x.tobytes() for x in np.split(held_block(kind, np.concatenate(keys)), np.cumsum([len(k) for k in keys])[:-1])]
+        return pa.table({"chunk": asked.column("chunk"), "kind": asked.column("kind"), "block": asked.column("block"), "vals": pa.array(values, pa.binary())})
 
     def finish(key: tuple, own: pa.Table, answers: pa.Table) -> pa.Table:
-        memo, known = WordHashes(), {}
-        for kind in (0, 1):
-            part = [(np.frombuffer(k.as_py(), np.uint64), np.frombuffer(v.as_py(), np.float64)) for k, v, x in zip(answers.column("keys"), answers.column("vals"), answers.column("kind"), strict=True) if x.as_py() == kind]
-            keys, vals = np.concatenate([p[0] for p in part]), np.concatenate([p[1] for p in part])
-            order = np.argsort(keys, kind="stable")
-            known[kind] = keys[order], vals[order]
-        ask = lambda kind, k: known[kind][1][np.searchsorted(known[kind][0], k)]
+        by = sorted(zip(*[answers.column(c).to_pylist() for c in ("kind", "block", "vals")], strict=True))  # blocks are ranges of keys
+        known = [np.frombuffer(b"".join(v for k, _, v in by if k == kind), np.uint8 if kind else np.int64) for kind in range(kinds)]
+
+        def ask(kind: int, keys: np.ndarray) -> np.ndarray:
+            if len(keys) != len(known[kind]):
+                raise RuntimeError("a chunk's answers do not fit its keys")
+            return known[kind]
+
         if not own.num_rows:
             return pa.Table.from_batches([], schema=pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]))
-        return pa.Table.from_batches([_scored(own.column("doc_id").to_pylist(), own.column("text").to_pylist(), ask, *stats, memo)])
+        return pa.Table.from_batches([_scored(own.column("doc_id").to_pylist(), own.column("text").to_pylist(), ask, *stats, WordHashes())])
 
-    asked = dealt.select("chunk", "text").mapInArrow(lean(wanted), "chunk int, kind int, block int, keys binary")
-    answers = asked.groupBy("kind", "block").cogroup(tables.select("kind", "block", "data", "more").groupBy("kind", "block")).applyInArrow(answer, "chunk int, kind int, keys binary, vals binary")
+    asked = dealt.sortWithinPartitions("chunk").mapInArrow(lean(wanted), "chunk int, kind int, block int, keys binary")
+    answers = asked.groupBy("kind", "block").cogroup(tables.select("kind", "block", "data", "more").groupBy("kind", "block")).applyInArrow(answer, "chunk int, kind int, block int, vals binary")
     return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, _SCORES)
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, broadcast_bytes: int = BROADCAST_BYTES, base_only: bool = False) -> DataFrame:
     """Per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Trained on rows whose crc32(id as text) mod ``folds`` is not 0.  A null or
     empty text is one token, the end.  A null id is held in training.  With no
     training rows every word is unknown and train_tokens is 0.  Rows that
     repeat are rows like others.  An empty table gives no rows; further columns
-    are ignored; ids are integers.
+    are ignored; ids are integers.  ``base_only``: no pairs are counted, and the
+    column score is left out.
     """
+    kinds = 1 if base_only else 2
     ship_package(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 0, F.lit(False))
     chars = base.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     bits = max(0, int(np.ceil(np.log2(max(1, chars / 6 / BLOCK_KEYS)))))
-    packed = base.filter(~held).select("text").mapInArrow(lean(_counter(bits)), "kind int, block int, keys binary, counts binary")
+    packed = base.filter(~held).select("text").mapInArrow(lean(_counter(bits, kinds)), "kind int, block int, keys binary, counts binary")
     tables = materialise(packed.groupBy("kind", "block").applyInArrow(_block, "kind int, block int, data binary, more binary, total long, types long, once long"), "lm-tables")
     total = tables.groupBy("kind").agg(F.sum("total"), F.sum("types"), F.sum("once"), F.sum(F.length("data") + F.length("more")).alias("bytes")).collect()
     n, v, once = next(((r[1], r[2], r[3]) for r in total if r[0] == 0), (0, 0, 0))
     if sum(r["bytes"] for r in total) <= broadcast_bytes:
-        scored = _by_broadcast(base, tables, bits, (n, v, once))
+        scored = _by_broadcast(base, tables, bits, (n, v, once, kinds))
     else:
-        scored = _by_chunks(base, tables, bits, (n, v, once), max(1, int(chars / 6 / CHUNK_TOKENS)))
-    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+        scored = _by_chunks(base, tables, bits, (n, v, once, kinds), max(1, int(chars / 6 / CHUNK_TOKENS)))
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", *["score"][: kinds - 1])

@@ -109,6 +109,13 @@ def test_chunked_scores_equal_broadcast(spark, docs_of, monkeypatch):
     assert one == two
 
 
+def test_a_chunk_asks_once_a_block(spark):
+    """Keys are made from whole chunks: from rows as they come, each row of a batch asked nearly every block by itself."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    plan = S.score_texts(docs, broadcast_bytes=0)._jdf.queryExecution().sparkPlan().toString().split("\n")
+    assert [" Sort [chunk#" in after for line, after in zip(plan, plan[1:]) if "MapInArrow" in line] == [True]
+
+
 def read_filter(filt, keys):
     n = len(keys)
     return S.probe_filter(filt, keys, np.full(n, 8 * len(filt), np.uint64), np.zeros(n, np.uint64))
