@@ -3,10 +3,12 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from chronorel.llm.decontaminate import contained_items, drop_contaminated
 from chronorel.llm.exact_dedup import drop_exact_copies, exact_dedup
@@ -116,6 +118,42 @@ def test_near(docs_of, k, seed, monkeypatch):
     assert sorted(map(tuple, got)) == brute_near(rows, k)
 
 
+def test_steps_leave_no_shuffle_files(spark):
+    """Without waiting for the driver's garbage collection; the caller's setting stays as it was."""
+    from chronorel.session import materialise
+
+    blocks, key = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def shuffles():
+        return {f for f in blocks.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+
+    setting, before = spark.conf.get(key), shuffles()
+    done = materialise(spark.range(20_000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count(), "t-shuffles")
+    for _ in range(20):  # files go in the background
+        if not shuffles() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffles() - before
+    assert done.count() == 7 and spark.conf.get(key) == setting
+
+
+def test_near_steps_shuffle_keys_once(docs_of, monkeypatch):
+    """The key rows are the largest shuffle: no step holds them twice."""
+    import chronorel.llm.near_dedup as N
+
+    real, twice = N.materialise, []
+
+    def watched(df, name):
+        if df._jdf.queryExecution().optimizedPlan().toString().count("posexplode(") > 2:
+            twice.append(name)
+        return real(df, name)
+
+    monkeypatch.setattr(N, "materialise", watched)
+    rows = near_rows(3, 40)
+    assert sorted(map(tuple, near_duplicates(docs_of(rows), shingle_words=2).collect())) == brute_near(rows, 2)
+    assert not twice
+
+
 def test_near_misses_are_rare():
     from chronorel.llm.near_dedup import BANDS, ROWS
 
